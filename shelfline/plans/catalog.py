@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from shelfline.plans import (  # noqa: F401
     catalog_features,
+    catalog_profile,
     catalog_quality,
 )
 from shelfline.plans.registry import CATALOG
