@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,11 +99,15 @@ def any_of(conditions) -> Column:
 
 def explode_values(rows: list[tuple], names: list[str]) -> Column:
     """A literal table as an exploding generator: attaches every literal row
-    to each input row without a join."""
-    structs = [
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows
-    ]
-    return F.explode(F.array(*structs))
+    to each input row without a join.
+
+    The table travels as one JSON literal, which the optimizer folds into a
+    constant array, so plans stay small however many rows it has.
+    """
+    kinds = {str: "STRING", int: "INT", float: "DOUBLE"}
+    fields = ", ".join(f"{n}: {kinds[type(v)]}" for n, v in zip(names, rows[0]))
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    return F.explode(F.from_json(F.lit(text), f"array<struct<{fields}>>"))
 
 
 def unpivot_named(df, pairs: list[tuple[str, Column]], name: str, value: str, keep=()):

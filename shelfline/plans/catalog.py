@@ -6,6 +6,8 @@ from shelfline.plans import (  # noqa: F401
     catalog_features,
     catalog_profile,
     catalog_quality,
+    catalog_backtest,
+    catalog_inventory,
 )
 from shelfline.plans.registry import CATALOG
 
