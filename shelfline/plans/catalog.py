@@ -8,6 +8,9 @@ from shelfline.plans import (  # noqa: F401
     catalog_quality,
     catalog_backtest,
     catalog_inventory,
+    catalog_decision,
+    catalog_sources,
+    catalog_models,
 )
 from shelfline.plans.registry import CATALOG
 
