@@ -45,7 +45,14 @@ class Fitted:
         )
 
 
-def estimator(model: str, configuration_id: str, label_spread: float, rows: int, width: int):
+def estimator(
+    model: str,
+    configuration_id: str,
+    label_spread: float,
+    rows: int,
+    width: int,
+    forest_trees: int = FOREST_TREES,
+):
     if model == "ridge":
         # Spark rescales the label; this penalty reproduces alpha on raw labels
         return LinearRegression(
@@ -58,9 +65,11 @@ def estimator(model: str, configuration_id: str, label_spread: float, rows: int,
     if model == "random_forest":
         return RandomForestRegressor(
             labelCol="target",
-            numTrees=FOREST_TREES,
+            numTrees=forest_trees,
             maxDepth=MAX_TREE_DEPTH,
             featureSubsetStrategy="all",
+            cacheNodeIds=True,
+            maxMemoryInMB=1024,
             seed=SEED,
         )
     if model in PRIMARY_MODELS:
@@ -72,12 +81,15 @@ def estimator(model: str, configuration_id: str, label_spread: float, rows: int,
             maxIter=iterations,
             maxDepth=depth,
             subsamplingRate=subsample,
+            cacheNodeIds=True,
             seed=SEED,
         )
     raise ValueError(f"{model} is not a fitted model")
 
 
-def fit(training: DataFrame, model: str, configuration_id: str) -> Fitted:
+def fit(
+    training: DataFrame, model: str, configuration_id: str, forest_trees: int = FOREST_TREES
+) -> Fitted:
     """Fit one candidate on the rows of one fold and horizon.
 
     ``training`` should be a stored table: fitting scans it many times.
@@ -92,7 +104,9 @@ def fit(training: DataFrame, model: str, configuration_id: str) -> Fitted:
         F.stddev_pop("target").alias("spread"), F.count(F.lit(1)).alias("n")
     ).first()
     width = sum(len(labels) for labels in encoder.stages[0].labelsArray) + len(FEATURES)
-    learner = estimator(model, configuration_id, facts["spread"] or 1.0, facts["n"], width)
+    learner = estimator(
+        model, configuration_id, facts["spread"] or 1.0, facts["n"], width, forest_trees
+    )
     fitted = learner.fit(encode(scaled, encoder).select("features", "target"))
     return Fitted(model, configuration_id, encoder, fitted, state)
 
@@ -102,6 +116,7 @@ def fit_candidates(
     origins: DataFrame,
     candidates: Iterable[tuple[str, int, str, int]],
     parallelism: int = 4,
+    forest_trees: int = FOREST_TREES,
 ) -> DataFrame:
     """Fit (model, horizon, configuration, fold) candidates and score origins.
 
@@ -115,7 +130,7 @@ def fit_candidates(
         model, horizon, configuration, fold = candidate
         rows = training.where((F.col("fold_id") == fold) & (F.col("horizon") == horizon))
         points = origins.where(F.col("fold_id") == fold).withColumn("horizon", F.lit(horizon))
-        fitted = fit(rows, model, configuration)
+        fitted = fit(rows, model, configuration, forest_trees)
         (
             fitted.predict(points)
             .select(

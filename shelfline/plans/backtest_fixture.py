@@ -16,15 +16,19 @@ from shelfline.operators import folds as fo
 from shelfline.operators import forecast as fc
 from shelfline.plans.catalog_features import FOLD_TABLE, target_sql
 from shelfline.plans.oracle_base import PANEL
-from shelfline.sources.panels import FULL_END, FULL_START, full_demand
+from shelfline.sources.panels import FULL_END, FULL_START, published_demand
 
 FOLDS = fold_calendar(1997)
 RUN = "bench-run"
 CONFIGS = [(name, i) for i, (name, *_) in enumerate(fc.configuration_grid(), start=1)]
 
 
-def candidate_predictions(demand, folds):
-    """Primary grid plus both baselines for each fold."""
+def candidate_predictions(demand, folds, producers=None):
+    """Primary grid plus both baselines for each fold.
+
+    ``producers`` restricts the candidates to designated ones before any row is
+    made for the others.
+    """
     history = fc.baseline_history(demand, folds)
     base = fc.baseline_predictions(history)
     baselines = base.withColumn("configuration_id", F.lit("not_tuned"))
@@ -37,6 +41,7 @@ def candidate_predictions(demand, folds):
             )
             for k, model in enumerate(PRIMARY_MODELS)
             for name, i in CONFIGS
+            if producers is None or any((model, name) == p[1:] for p in producers)
         ]
     )
     primary = (
@@ -51,20 +56,26 @@ def candidate_predictions(demand, folds):
             F.col("g.c").alias("configuration_id"),
         )
     )
+    if producers is not None:
+        return primary
     return primary.unionByName(baselines)
 
 
 def validation_rows(spark, sf_dir):
-    demand = full_demand(spark, sf_dir)
+    demand = published_demand(spark, sf_dir)
     observed = fo.observed_targets(fe.build_targets(demand, FULL_START, FULL_END), FOLDS[:4])
     return fc.forecast_rows(candidate_predictions(demand, FOLDS[:4]), observed, FOLDS, RUN)
 
 
-def final_rows(spark, sf_dir):
-    demand = full_demand(spark, sf_dir)
+def final_rows(spark, sf_dir, producers=None):
+    demand = published_demand(spark, sf_dir)
     observed = fo.observed_targets(fe.build_targets(demand, FULL_START, FULL_END), FOLDS[4:])
     return fc.forecast_rows(
-        candidate_predictions(demand, FOLDS[4:]), observed, FOLDS, RUN, "final_evaluation"
+        candidate_predictions(demand, FOLDS[4:], producers),
+        observed,
+        FOLDS,
+        RUN,
+        "final_evaluation",
     )
 
 

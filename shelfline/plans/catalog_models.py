@@ -21,7 +21,7 @@ from shelfline.plans.catalog_profile import r
 from shelfline.plans.oracle_base import DEMAND, PANEL, with_
 from shelfline.plans.registry import query
 from shelfline.session import scratch_path, stored
-from shelfline.sources.panels import FULL_END, FULL_START, full_demand, rank_tables
+from shelfline.sources.panels import FULL_END, FULL_START, published_demand, rank_tables
 from shelfline.streaming import requests as stream
 
 TRAIN_SQL = (
@@ -31,7 +31,7 @@ TRAIN_SQL = (
 
 
 def _training(spark, sf_dir, folds=FOLDS[:4]):
-    return fo.training_rows(fe.features_and_targets(full_demand(spark, sf_dir)), folds)
+    return fo.training_rows(fe.features_and_targets(published_demand(spark, sf_dir)), folds)
 
 
 @query(
@@ -127,15 +127,15 @@ def representation_catalogue(spark, sf_dir):
 
 
 def _stored_inputs(spark, sf_dir, folds):
-    demand = full_demand(spark, sf_dir)
+    demand = published_demand(spark, sf_dir)
     training = stored(_training(spark, sf_dir, folds), "training")
     origins = stored(fe.origin_features(demand, folds), "origins")
     return demand, training, origins
 
 
-def _fitted_scores(spark, sf_dir, candidates, folds):
+def _fitted_scores(spark, sf_dir, candidates, folds, **options):
     demand, training, origins = _stored_inputs(spark, sf_dir, folds)
-    predictions = mo.fit_candidates(training, origins, candidates)
+    predictions = mo.fit_candidates(training, origins, candidates, **options)
     observed = fo.observed_targets(fe.build_targets(demand, FULL_START, FULL_END), folds)
     rows = fc.forecast_rows(predictions, observed, FOLDS, RUN)
     return me.score(rows, [*me.SUMMARY_KEYS, "fold_id"])
@@ -150,10 +150,12 @@ def ridge(spark, sf_dir):
 
 @query("random_forest", "M9 M11")
 def random_forest(spark, sf_dir):
-    return _fitted_scores(spark, sf_dir, [("random_forest", 7, "fixed", 1)], FOLDS[:1])
+    """All rows, fewer trees than the library default of 300 (a parameter)."""
+    plan = [("random_forest", 7, "fixed", 1)]
+    return _fitted_scores(spark, sf_dir, plan, FOLDS[:1], forest_trees=10)
 
 
-@query("boosted_trees", "M10 M11")
+@query("boosted_trees", "M10 M11")  # one of the 24 configurations
 def boosted_trees(spark, sf_dir):
     return _fitted_scores(spark, sf_dir, [("xgboost", 7, "GBM001", 1)], FOLDS[:1])
 
@@ -162,11 +164,11 @@ def boosted_trees(spark, sf_dir):
 def final_refit(spark, sf_dir):
     """Refit on all history, store predictions, only then read outcomes."""
     folds = FOLDS[4:]
-    history = full_demand(spark, sf_dir).where(F.col("Date") <= F.lit(folds[0].end))
+    history = published_demand(spark, sf_dir).where(F.col("Date") <= F.lit(folds[0].end))
     training = stored(fo.training_rows(fe.features_and_targets(history), folds), "training")
     origins = stored(fe.origin_features(history, folds), "origins")
     sealed = mo.fit_candidates(training, origins, [("ridge", h, "fixed", 5) for h in (1, 7, 14, 28)])
-    outcomes = full_demand(spark, sf_dir).where(F.col("Date") > F.lit(folds[0].end))
+    outcomes = published_demand(spark, sf_dir).where(F.col("Date") > F.lit(folds[0].end))
     observed = fo.observed_targets(
         fe.build_targets(outcomes, folds[0].end, folds[0].outcome_end), folds
     )
@@ -205,7 +207,7 @@ ORIGIN = date(1997, 12, 2)
 def request_table(spark, sf_dir):
     """One request per series and horizon, broken by rule."""
     skus, whs = rank_tables(spark, sf_dir)
-    demand = full_demand(spark, sf_dir).where(
+    demand = published_demand(spark, sf_dir).where(
         (F.col("Date") <= F.lit(ORIGIN)) & (F.col("Date") > F.date_sub(F.lit(ORIGIN), 60))
     )
     base = (
@@ -261,7 +263,7 @@ WHEN k % 31 = 0 THEN 'invalid_origin' WHEN k % 11 = 0 THEN 'insufficient_history
 WHEN k % 37 = 0 OR k % 19 = 0 THEN 'incomplete_history' END AS rejection FROM req""",
 )
 def conditional_reject(spark, sf_dir):
-    demand = full_demand(spark, sf_dir)
+    demand = published_demand(spark, sf_dir)
     return rq.classify_with_tables(
         request_table(spark, sf_dir),
         demand.select("SKU_ID").distinct(),
@@ -281,7 +283,7 @@ def _naive_scorers():
 
 
 def _classified(spark, sf_dir, requests):
-    demand = full_demand(spark, sf_dir)
+    demand = published_demand(spark, sf_dir)
     return rq.classify_with_tables(
         requests,
         demand.select("SKU_ID").distinct(),
@@ -421,7 +423,7 @@ def score_request_stream(spark, sf_dir):
     """The same scoring as a stateless stream over request files."""
     folder = scratch_path(spark, "requests")
     request_table(spark, sf_dir).drop("k").write.mode("errorifexists").json(folder)
-    demand = full_demand(spark, sf_dir)
+    demand = published_demand(spark, sf_dir)
     # vocabularies of the loaded model: one dimension's levels each
     skus = [x[0] for x in demand.select("SKU_ID").distinct().collect()]
     whs = [x[0] for x in demand.select("Warehouse_ID").distinct().collect()]

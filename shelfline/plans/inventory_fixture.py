@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfline.fixed import SERIES
+from shelfline.fixed import PRODUCERS, SERIES
 from shelfline.operators import export as ex
 from shelfline.plans.backtest_fixture import CANDIDATES_SQL, final_rows
 from shelfline.sources.panels import (
     day_no,
-    full_demand,
-    full_panel,
+    published_demand,
+    published_panel,
     rank_tables,
     with_inventory,
 )
@@ -23,7 +23,7 @@ def defective_records(spark, sf_dir):
     """One forecast/inventory record per panel row, cells broken by rule."""
     skus, whs = rank_tables(spark, sf_dir)
     p = (
-        with_inventory(full_demand(spark, sf_dir), skus, whs)
+        with_inventory(published_demand(spark, sf_dir), skus, whs)
         .join(skus, "SKU_ID")
         .join(whs, "Warehouse_ID")
         .withColumn("k", day_no() * 31 + F.col("_sn") * 7 + F.col("_wn"))
@@ -160,7 +160,7 @@ def ordered(list_sql: str) -> str:
 
 def final_export(spark, sf_dir):
     """Designated final forecasts; a rule makes some quantities negative."""
-    rows = final_rows(spark, sf_dir)
+    rows = final_rows(spark, sf_dir, PRODUCERS)
     rule = (F.length("SKU_ID") + F.length("Warehouse_ID") + F.col("horizon")) % 7 == 0
     return ex.build_export(rows).withColumn(
         "prediction", F.when(rule, -F.col("prediction") - 1).otherwise(F.col("prediction"))
@@ -169,7 +169,7 @@ def final_export(spark, sf_dir):
 
 def origin_inventory(spark, sf_dir):
     """Origin-day snapshots; some series have none."""
-    return full_panel(spark, sf_dir).where(
+    return published_panel(spark, sf_dir).where(
         (F.col("Date") == F.lit(ORIGIN))
         & ((F.length("SKU_ID") * 3 + F.length("Warehouse_ID")) % 9 != 0)
     )
@@ -177,7 +177,7 @@ def origin_inventory(spark, sf_dir):
 
 def later_sales(spark, sf_dir):
     """Sales of the fourteen days after the origin; one day of one SKU is lost."""
-    return full_demand(spark, sf_dir).where(
+    return published_demand(spark, sf_dir).where(
         (F.col("Date") > F.lit(ORIGIN))
         & (F.col("Date") <= F.date_add(F.lit(ORIGIN), 14))
         & ~((F.col("SKU_ID") == "LARGE") & (F.col("Date") == F.lit(date(1997, 12, 10))))

@@ -19,6 +19,7 @@ def local_session(cores: str = "8", app: str = "shelfline") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -57,3 +58,27 @@ def stored(df, label: str):
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_PUBLISHED: dict[tuple[str, str], str] = {}
+
+
+def published(spark: SparkSession, name: str, build):
+    """A derived table that several jobs of one application read, written once.
+
+    The first caller writes it below the shared folder; later callers open the
+    same files, or write again if the folder was cleared meanwhile.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    path = _PUBLISHED.get(key)
+    if path is not None:
+        jvm = spark.sparkContext._jvm
+        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(marker):
+            return spark.read.parquet(path)
+    df = build()
+    path = scratch_path(spark, "published")
+    df.write.mode("errorifexists").parquet(path)
+    _PUBLISHED[key] = path
+    return spark.read.schema(df.schema).parquet(path)

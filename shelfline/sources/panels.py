@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfline.fixed import PANEL_COLUMNS, SERIES
+from shelfline.session import published
 
 FULL_START = date(1997, 1, 1)
 FULL_END = date(1997, 12, 30)
@@ -160,6 +161,24 @@ def full_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def published_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`full_demand` as a stored table for jobs that read it several times.
+
+    Range partitioning by series keeps file sizes even whatever a series weighs.
+    """
+    return published(
+        spark,
+        f"demand:{sf_dir}",
+        lambda: full_demand(spark, sf_dir).repartitionByRange(*SERIES, "Date"),
+    )
+
+
+def published_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15-column panel over the stored demand table."""
+    skus, warehouses = rank_tables(spark, sf_dir)
+    return with_inventory(published_demand(spark, sf_dir), skus, warehouses).select(*PANEL_COLUMNS)
+
+
 def _rank_table(values: DataFrame, name: str, rank: str) -> DataFrame:
     # distinct values of one dimension: bounded by that dimension's cardinality
     return values.distinct().select(
@@ -219,14 +238,14 @@ def full_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15-column panel as source text, clean."""
-    p = full_panel(spark, sf_dir)
+    p = published_panel(spark, sf_dir)
     return p.select(*[F.col(c).cast("string").alias(c) for c in PANEL_COLUMNS])
 
 
 def raw_panel_with_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source text with every kind of defect, placed by a deterministic rule."""
     skus, warehouses = rank_tables(spark, sf_dir)
-    demand = full_demand(spark, sf_dir)
+    demand = published_demand(spark, sf_dir)
     keyed = (
         with_inventory(demand, skus, warehouses)
         .join(skus, "SKU_ID")
