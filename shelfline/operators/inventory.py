@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shelfline.fixed import EVALUABLE_HORIZONS, GROUP_FIELDS, HORIZONS, RATES
 from shelfline.functions.expr import all_of, any_of, clean_text, finite, ratio, strict_date
 
+# fixed values: method approval statuses and required input columns
 METHOD_STATUS = "group_approved"
 LEGACY_METHOD_STATUS = "proposed_for_group_approval"
 
@@ -719,6 +720,7 @@ def sales_scope_defects(sales: DataFrame, forecasts: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: snapshot policies
 POLICIES = ("unknown", "source-confirmed", "constructed-origin")
 CONSTRUCTED_BASIS = (
     "Recorded same-origin balances are taken as hypothetical starting balances with no "

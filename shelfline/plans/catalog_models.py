@@ -297,14 +297,15 @@ hist AS (SELECT SKU_ID, Warehouse_ID, avg(Units_Sold) AS m, max(Units_Sold) FILT
 bad AS (SELECT *, k % 41 = 0 OR k % 23 = 0 OR k % 29 = 0 OR k % 31 = 0 OR k % 11 = 0 OR k % 13 = 0 OR k % 17 = 0 OR k % 37 = 0 OR k % 19 = 0 AS b FROM req)"""
 
 
-@query(
-    "score_requests",
-    "M16 M7",
+SCORE_REQUESTS_SQL = (
     with_(PANEL, REQUESTS_SQL, SCORED_SQL)
     + """SELECT b.SKU_ID, b.Warehouse_ID, horizon, 'available' AS status, DATE '1997-12-03' AS target_start_date, DATE '1997-12-02' + CAST(horizon AS INTEGER) AS target_end_date,
 CASE WHEN horizon = 1 THEN 'next_day' ELSE 'cumulative_window' END AS forecast_type, round(CASE WHEN horizon = 1 THEN CAST(w AS DOUBLE) ELSE m * horizon END, 6) AS forecast_quantity
-FROM bad b JOIN hist h ON h.SKU_ID = b.SKU_ID AND h.Warehouse_ID = b.Warehouse_ID WHERE NOT b""",
+FROM bad b JOIN hist h ON h.SKU_ID = b.SKU_ID AND h.Warehouse_ID = b.Warehouse_ID WHERE NOT b"""
 )
+
+
+@query("score_requests", "M16 M7", SCORE_REQUESTS_SQL)
 def score_requests(spark, sf_dir):
     responses = rq.score_requests(
         _classified(spark, sf_dir, request_table(spark, sf_dir)), _naive_scorers()
@@ -418,7 +419,7 @@ def score_requests_with_model(spark, sf_dir):
     ).select(*SERIES, "horizon", "status", "reason_code", "forecast_quantity", "model")
 
 
-@query("score_request_stream", "M16 S13")
+@query("score_request_stream", "M16 S13", SCORE_REQUESTS_SQL)
 def score_request_stream(spark, sf_dir):
     """The same scoring as a stateless stream over request files."""
     folder = scratch_path(spark, "requests")
@@ -433,8 +434,13 @@ def score_request_stream(spark, sf_dir):
     out = scratch_path(spark, "responses")
     running = stream.start_scoring(responses, out, scratch_path(spark, "stream-state"))
     running.awaitTermination()
-    return spark.read.parquet(out).select(
-        *SERIES, "horizon", "status", "reason_code", "forecast_quantity", "input_sha256"
+    scored = spark.read.parquet(out).where("status = 'available'").select(
+        *SERIES,
+        "horizon",
+        "status",
+        "target_start_date",
+        "target_end_date",
+        "forecast_type",
+        "forecast_quantity",
     )
-
-
+    return r(scored, "forecast_quantity")

@@ -272,6 +272,31 @@ def parse_markdown_table(spark, sf_dir):
     return r(md.scan_comparison(spark, path), "WAPE", "MAE", "RMSE", "Bias", digits=4)
 
 
+@query(
+    "content_identity_audit",
+    "S14 U5",
+    """WITH a AS (SELECT 'd' || doc_id AS file, sha256(text) AS actual FROM documents),
+m AS (SELECT 'd' || doc_id AS file, CASE WHEN lang = 'de' THEN reverse(sha256(text)) ELSE sha256(text) END AS expected FROM documents
+  UNION ALL SELECT 'b' || item_id, sha256(text) FROM benchmark)
+SELECT COALESCE(a.file, m.file) AS file, CASE WHEN actual IS NULL THEN 'MISSING' WHEN expected IS NULL THEN 'UNLISTED' WHEN actual = expected THEN 'OK' ELSE 'MISMATCH' END AS status
+FROM a FULL JOIN m ON a.file = m.file""",
+)
+def content_identity_audit(spark, sf_dir):
+    """Whole texts hashed against a manifest with altered and absent entries."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"),
+        F.sha2("text", 256).alias("sha256"),
+        "lang",
+    )
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
+        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("file"),
+        F.sha2("text", 256).alias("sha256"),
+    )
+    altered = F.when(F.col("lang") == "de", F.reverse("sha256")).otherwise(F.col("sha256"))
+    manifest = docs.select("file", altered.alias("sha256")).unionByName(items)
+    return fi.audit_files(docs, manifest).select("file", "status")
+
+
 @query("file_identity_audit", "S14")
 def file_identity_audit(spark, sf_dir):
     """Every table file of the folder against a manifest with known faults."""
