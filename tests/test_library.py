@@ -188,3 +188,20 @@ def test_ridge_reproduces_the_closed_form(spark):
     xc, yc = x - x.mean(0), y - y.mean()
     want = np.linalg.solve(xc.T @ xc + np.eye(3), xc.T @ yc)
     assert np.allclose(model.coefficients.toArray(), want, atol=1e-6)
+
+
+def test_representation_ids_carry_the_population(spark):
+    from shelfline.fixed import FEATURES
+    from shelfline.operators.models import representation_catalogue
+
+    rows = [(1, 7, "A", "W", date(2024, 2, i), 1.0) for i in (1, 2)]
+    df = spark.createDataFrame(
+        rows,
+        "fold_id int, horizon int, SKU_ID string, Warehouse_ID string, Date date, target double",
+    )
+    got = representation_catalogue(df, ("ridge", "xgboost")).collect()
+    assert {r.model for r in got} == {"ridge", "xgboost"}
+    assert all(r.representation_id.startswith(f"validation-{r.model}-h7-f1-") for r in got)
+    assert all(r.physical_feature_count == 2 + len(FEATURES) for r in got)
+    other = representation_catalogue(df.limit(1), ("ridge",)).collect()[0]
+    assert other.representation_id not in {r.representation_id for r in got}
