@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import decontaminate, jaccard_join, langid
+from shelfline.llm import decontaminate, jaccard_join, langid, sentencepiece, toxicity
+
+#: Vocabulary file of the encoding queries; read where the query is made.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,18 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(found)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), sentencepiece.Vocabulary.load(TOKENIZER))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,6 +77,8 @@ FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
