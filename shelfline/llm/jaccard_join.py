@@ -288,7 +288,7 @@ def verified(documents: DataFrame, pairs: DataFrame, words: int, percent: int) -
 
 
 def _tile_pairs(documents: DataFrame, rest: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of sets that share a key (k, doc, comp): pairs of different components that sizes and bitmaps allow."""
+    """Of sets that share a key (k, doc, comp, rows): pairs of different components that sizes and bitmaps allow."""
     wanted = rest.select(F.col("doc").alias("doc_id")).distinct()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,9 +301,8 @@ def _tile_pairs(documents: DataFrame, rest: DataFrame, words: int, percent: int)
                 )
 
     bitmaps = stored(documents.join(wanted, "doc_id", "left_semi").mapInArrow(signed, "doc long, n long, bits binary"), "bitmaps")
-    counts = rest.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
     sides = F.ceil(F.col("rows") / TILE).cast("int")
-    rows = rest.join(counts, "k").withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("doc"), F.col("sides")).cast("int"))
+    rows = rest.withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("doc"), F.col("sides")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other")
     tiles = rows.select("k", "doc", "comp", "side", other).select(
         "k", "doc", "comp", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side"
@@ -329,6 +328,19 @@ def _tile_pairs(documents: DataFrame, rest: DataFrame, words: int, percent: int)
     return tiles.join(bitmaps, "doc").groupBy("k", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _worth_comparing(rest: DataFrame) -> DataFrame:
+    """(k, doc, comp, rows) without keys of one component or of two sets (their star was that pair), and one
+    key of those with the same sets."""
+    groups = rest.groupBy("k").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("members"),
+        F.min("comp").alias("low"),
+        F.max("comp").alias("high"),
+    )
+    some = groups.where("rows > 2 AND low < high").groupBy("rows", "members").agg(F.min("k").alias("k"))
+    return rest.join(some.select("k", "rows"), "k")
+
+
 def _all_keys(documents: DataFrame, words: int, percent: int) -> DataFrame:
     """(k, doc) for every key of every document, unmerged."""
 
@@ -380,8 +392,8 @@ def near_duplicates(documents: DataFrame, words: int = 4, percent: int = 85) ->
             .select("k", F.col("rep_doc").alias("doc"), F.coalesce("component", "rep_doc").alias("comp"))
             .distinct()
         )
-        rest = stored(rest, "open-rows")
-        more = verified(table, _tile_pairs(table, rest, words, percent), words, percent)
+        rest = stored(_worth_comparing(rest), "open-rows")
+        more = verified(table, _tile_pairs(table, rest, words, percent).join(close, ["a", "b"], "left_anti"), words, percent)
         comps = components(links.union(copies).union(stored(more, "links")))
     found = sizes.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
