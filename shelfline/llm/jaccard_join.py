@@ -10,8 +10,8 @@ empty blocks than that room also shares its empty blocks as keys.
    merged before the shuffle, so a key has one row for each piece at most, however
    many copies there are.  Keys meet as a star: (key, smallest document, other).
 2. Stars are verified exactly and contracted into components.
-3. Keys whose star joins different components are looked at in full: within such
-   a key, sets of different components meet in tiles of bounded size, where bit
+3. Keys whose stars join different components are looked at in full (the stars of
+   a key hold all its sets): within such a key, sets of different components meet in tiles of bounded size, where bit
    counts of hashed bitmaps bound the overlap from above before the exact
    intersection of sorted arrays.
 
@@ -232,8 +232,8 @@ def star_rows(documents: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
-    """A bitmap of a power of two of bits, twice the set's size at least (64 to 65,536)."""
-    bits = 1 << min(16, max(6, int(2 * len(s) - 1).bit_length()))
+    """A bitmap of a power of two of bits, eight times the set's size at least (64 to 131,072)."""
+    bits = 1 << min(17, max(6, int(8 * len(s) - 1).bit_length()))
     raw = np.zeros(bits, bool)
     raw[(T.mixed(s ^ _SALT) & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(raw).view(np.uint64)
@@ -341,25 +341,6 @@ def _worth_comparing(rest: DataFrame) -> DataFrame:
     return rest.join(some.select("k", "rows"), "k")
 
 
-def _all_keys(documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """(k, doc) for every key of every document, unmerged."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
-        for whole in batches:
-            for batch in T.slices(whole):
-                sets = shingle_sets(*T.buffer(batch.column("text")), words)
-                ids = batch.column("doc_id").to_pylist()
-                held = [(d, keys(s, bands)) for d, s in zip(ids, sets, strict=True) if d is not None and len(s)]
-                if held:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([k for _, k in held]).view(np.int64)), pa.array(np.repeat(np.array([d for d, _ in held], np.int64), [len(k) for _, k in held]))],
-                        ["k", "doc"],
-                    )
-
-    return documents.mapInArrow(send, "k long, doc long")
-
-
 def near_duplicates(documents: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     table = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -384,9 +365,10 @@ def near_duplicates(documents: DataFrame, words: int = 4, percent: int = 85) ->
     apart = where.where("coalesce(comp_a, a) != coalesce(comp_b, b)").select("a", "b")
     open_keys = stored(stars.join(apart, ["a", "b"], "left_semi").select("k").distinct(), "open-keys")
     if not open_keys.isEmpty():
+        within = stars.join(open_keys, "k", "left_semi")
         rest = (
-            _all_keys(table, words, percent)
-            .join(open_keys, "k", "left_semi")
+            within.select("k", F.col("a").alias("doc"))
+            .union(within.select("k", "b"))
             .join(rep_of("doc"), "doc")
             .join(comps.select(F.col("node").alias("rep_doc"), "component"), "rep_doc", "left")
             .select("k", F.col("rep_doc").alias("doc"), F.coalesce("component", "rep_doc").alias("comp"))

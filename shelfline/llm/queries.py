@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import decontaminate, jaccard_join, langid, sentencepiece, toxicity
+from shelfline.llm import decontaminate, jaccard_join, langid, sentencepiece, topk, toxicity
 
 #: Vocabulary file of the encoding queries; read where the query is made.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -26,6 +26,25 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.report(found)
@@ -76,6 +95,7 @@ FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
@@ -83,5 +103,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op5_exact_top_k": OP5_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
 }
