@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import decontaminate, jaccard_join, langid, sentencepiece, topk, toxicity
+from shelfline.llm import decontaminate, jaccard_join, langid, license_scan, sentencepiece, topk, toxicity
 
 #: Vocabulary file of the encoding queries; read where the query is made.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -26,6 +26,55 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files <source>/<lang>/<doc_id>.txt."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    path = F.concat(F.coalesce("source", F.lit("_")), F.lit("/"), F.coalesce("lang", F.lit("_")), F.lit("/"), F.col("doc_id"), F.lit(".txt"))
+    found = license_scan.scan(docs.select(path.alias("path"), "text"))
+    doc_id = F.regexp_extract("path", r"([-0-9]+)\.txt$", 1).cast("long")
+    return found.select(doc_id.alias("doc_id"), "licence", "how", "folder")
+
+
+def _op3_sql() -> str:
+    rows, idf, other = license_scan.weights()
+    values = lambda table: ", ".join(f"({', '.join(f'{x!r}e0' if isinstance(x, float) else repr(x) for x in row)})" for row in table)
+    stop = ", ".join(f"'{w}'" for w in license_scan.STOP_WORDS)
+    return f"""
+WITH f AS (
+  SELECT doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_') AS folder, source AS top, text FROM documents WHERE doc_id IS NOT NULL
+),
+vec(template, licence, term, share) AS (VALUES {values(rows)}),
+known(term, idf) AS (VALUES {values(sorted(idf.items()))}),
+seg AS (
+  SELECT doc_id, line, seg FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS seg, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM f)
+  UNION ALL SELECT doc_id, -1, text FROM f WHERE text IS NOT NULL
+),
+tf AS (
+  SELECT doc_id, line, term, count(*) AS tf FROM (
+    SELECT doc_id, line, unnest(regexp_extract_all(translate(seg, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{license_scan.TERM}')) AS term FROM seg
+  ) WHERE term NOT IN ({stop}) GROUP BY ALL
+),
+w AS (SELECT doc_id, line, tf.term, tf * coalesce(idf, {other!r}e0) AS w FROM tf LEFT JOIN known USING (term)),
+len AS (SELECT doc_id, line, sqrt(sum(w * w)) AS length FROM w GROUP BY ALL),
+sc AS (
+  SELECT doc_id, line, licence, round(dot / length, 9) AS score
+  FROM (SELECT doc_id, line, template, licence, sum(w * share) AS dot FROM w JOIN vec USING (term) GROUP BY ALL) JOIN len USING (doc_id, line)
+),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY score DESC, licence) = 1),
+good AS (
+  SELECT doc_id, licence, score, CASE WHEN line >= 0 THEN 'header' ELSE 'file' END AS how, folder, doc_id || '.txt' AS name
+  FROM best JOIN f USING (doc_id)
+  WHERE (line >= 0 AND score >= {license_scan.THRESHOLD}) OR (line = -1 AND score >= {license_scan.FILE_THRESHOLD})
+),
+own AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY how DESC, score DESC, licence) = 1),
+dirs AS (SELECT folder, licence FROM good WHERE how = 'file' QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, name) = 1)
+SELECT f.doc_id, coalesce(own.licence, dirs.licence) AS licence,
+  CASE WHEN own.licence IS NOT NULL THEN own.how WHEN dirs.licence IS NOT NULL THEN 'inherited' END AS how,
+  CASE WHEN own.licence IS NOT NULL OR dirs.licence IS NOT NULL THEN f.folder END AS folder
+FROM f LEFT JOIN own ON f.doc_id = own.doc_id LEFT JOIN dirs ON f.folder = dirs.folder
+"""
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -95,6 +144,7 @@ FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_license_scan": op3_license_scan,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
@@ -103,6 +153,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_license_scan": _op3_sql(),
     "op5_exact_top_k": OP5_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
 }
