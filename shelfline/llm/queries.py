@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import decontaminate, jaccard_join, langid, license_scan, sentencepiece, topk, toxicity
+from shelfline.llm import decontaminate, jaccard_join, langid, license_scan, quality, sentencepiece, topk, toxicity, warc
 
 #: Vocabulary file of the encoding queries; read where the query is made.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -20,6 +20,24 @@ def remainder(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(spark, table(spark, sf_dir, "pages"))
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+),
+r AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS top FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM r
+"""
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, remainder(5) != 0)
@@ -75,6 +93,14 @@ FROM f LEFT JOIN own ON f.doc_id = own.doc_id LEFT JOIN dirs ON f.folder = dirs.
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
+    return quality.score(docs, model).select(
+        "doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -143,8 +169,10 @@ FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 """
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
+    "op4_quality": op4_quality,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
@@ -153,6 +181,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_warc": OP1_SQL,
     "op3_license_scan": _op3_sql(),
     "op5_exact_top_k": OP5_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
