@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import decontaminate, jaccard_join, langid, license_scan, quality, sentencepiece, topk, toxicity, warc
+from shelfline.llm import decontaminate, jaccard_join, langid, license_scan, quality, sentencepiece, topk, toxicity, training_order, warc
 
 #: Vocabulary file of the encoding queries; read where the query is made.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -125,6 +125,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(found)
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(table(spark, sf_dir, "documents"), sentencepiece.Vocabulary.load(TOKENIZER))
 
@@ -175,6 +179,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_training_order": op7_training_order,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
