@@ -262,11 +262,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return bool(enough(int((large[at] == small).sum()), len(a), len(b), percent))
 
 
-def verified(documents: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets reach the threshold."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stored(documents.join(wanted, "doc_id", "left_semi"), "texts")
+def verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose sets reach the threshold; ``texts`` are those of their documents."""
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(
         texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"
     )
@@ -287,9 +284,12 @@ def verified(documents: DataFrame, pairs: DataFrame, words: int, percent: int) -
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _tile_pairs(documents: DataFrame, rest: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of sets that share a key (k, doc, comp, rows): pairs of different components that sizes and bitmaps allow."""
-    wanted = rest.select(F.col("doc").alias("doc_id")).distinct()
+def _tile_pairs(texts: DataFrame, rest: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of sets that share a key (k, doc, comp, rows): pairs of different components that sizes and bitmaps allow.
+
+    A pair comes from the tile of the smallest key that both have, so from one tile only.
+    """
+    own = rest.groupBy("doc").agg(F.collect_list("k").alias("keys"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -300,7 +300,7 @@ def _tile_pairs(documents: DataFrame, rest: DataFrame, words: int, percent: int)
                     ["doc", "n", "bits"],
                 )
 
-    bitmaps = stored(documents.join(wanted, "doc_id", "left_semi").mapInArrow(signed, "doc long, n long, bits binary"), "bitmaps")
+    bitmaps = texts.mapInArrow(signed, "doc long, n long, bits binary").join(own, "doc")
     sides = F.ceil(F.col("rows") / TILE).cast("int")
     rows = rest.withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("doc"), F.col("sides")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other")
@@ -309,11 +309,12 @@ def _tile_pairs(documents: DataFrame, rest: DataFrame, words: int, percent: int)
     )
 
     def compare(tile: pa.Table) -> pa.Table:
-        x, y = tile.column("x")[0].as_py(), tile.column("y")[0].as_py()
+        k, x, y = (tile.column(c)[0].as_py() for c in ("k", "x", "y"))
         doc, comp, n, side = (tile.column(c).to_numpy() for c in ("doc", "comp", "n", "side"))
         maps = [np.frombuffer(b, np.uint64) for b in tile.column("bits").to_pylist()]
         few = min(map(len, maps))
         stack = np.stack([_folded(m, few) for m in maps])
+        own = [set(ks) for ks in tile.column("keys").to_pylist()]
         out = []
         for i in np.flatnonzero(side == x).tolist():
             able = (comp != comp[i]) & (side == y) & ((doc > doc[i]) | (x != y))
@@ -321,6 +322,7 @@ def _tile_pairs(documents: DataFrame, rest: DataFrame, words: int, percent: int)
             j = np.flatnonzero(able)
             if len(j):
                 j = j[enough(bounded(stack[i], n[i], stack[j], n[j]), n[j], n[i], percent)]
+                j = j[[min(own[i] & own[m]) == k for m in j.tolist()]] if len(j) else j
                 out.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
         found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": found[0], "b": found[1]})
@@ -354,10 +356,14 @@ def near_duplicates(documents: DataFrame, words: int = 4, percent: int = 85) ->
     rep_of = lambda name: reps.select(F.col("doc_id").alias(name), F.col("rep").alias(f"rep_{name}"))
     met = stars.select("a", "b").distinct().join(rep_of("a"), "a").join(rep_of("b"), "b")
     pairs = met.where("rep_a != rep_b").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    pairs = stored(pairs, "star-pairs")
     size = lambda name: reps.where("doc_id = rep").join(sizes, "doc_id").select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}")).distinct()
     sized = pairs.join(size("a"), "a").join(size("b"), "b")
     close = sized.where(f"100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)").select("a", "b")
-    links = stored(verified(table, close, words, percent), "links")
+    close = stored(close, "pairs")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = stored(table.join(wanted, "doc_id", "left_semi"), "texts")
+    links = stored(verified(texts, close, words, percent), "links")
 
     comps = components(links.union(copies))
     in_comp = lambda name: comps.select(F.col("node").alias(name), F.col("component").alias(f"comp_{name}"))
@@ -375,7 +381,8 @@ def near_duplicates(documents: DataFrame, words: int = 4, percent: int = 85) ->
             .distinct()
         )
         rest = stored(_worth_comparing(rest), "open-rows")
-        more = verified(table, _tile_pairs(table, rest, words, percent).join(close, ["a", "b"], "left_anti"), words, percent)
+        found = _tile_pairs(texts, rest, words, percent).join(close, ["a", "b"], "left_anti")
+        more = verified(texts, stored(found, "pairs"), words, percent)
         comps = components(links.union(copies).union(stored(more, "links")))
     found = sizes.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
