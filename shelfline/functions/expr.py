@@ -19,12 +19,22 @@ def strict_date(text: Column | str) -> Column:
     return F.to_date(F.try_to_timestamp(col(text), F.lit("yyyy-MM-dd")))
 
 
+# decimal and exponent forms and infinities; no type suffixes, no hexadecimal
+_NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
+
+
 def number(text: Column | str) -> Column:
     """Text to double; unparsable text and NaN become NULL, infinities survive."""
-    parsed = col(text).try_cast("double")
+    plain = F.when(col(text).cast("string").rlike(_NUMBER), col(text))
+    parsed = plain.try_cast("double")
     return F.when(~F.isnan(parsed), parsed)
 
 
+def blank(c: Column | str) -> Column:
+    """True for present text of nothing but white space, of any kind."""
+    return F.coalesce(~col(c).cast("string").rlike(r"(?U)\S"), F.lit(False))
+
+
 def finite(c: Column | str) -> Column:
     """True only for a present, non-NaN, non-infinite number."""
     c = col(c).cast("double")
@@ -38,9 +48,7 @@ def finite_or_null(c: Column | str) -> Column:
 
 def clean_text(c: Column | str) -> Column:
     """True for present, non-blank, unpadded text."""
-    c = col(c)
-    trimmed = F.trim(c)
-    return F.coalesce((trimmed != "") & (trimmed == c), F.lit(False))
+    return F.coalesce(col(c).rlike(r"(?sU)^\S(.*\S)?\z"), F.lit(False))
 
 
 def whole_count(c: Column | str) -> Column:

@@ -58,7 +58,7 @@ def scaler_state(training: DataFrame) -> DataFrame:
 
 
 def encode_long(rows: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
-    """Hot indicator positions of each row; unseen levels have a NULL index.
+    """Hot indicator positions of each row; an unseen level fails.
 
     ``keys`` identify a row and include the fold and horizon of its encoder.
     """
@@ -66,11 +66,17 @@ def encode_long(rows: DataFrame, vocabulary: DataFrame, keys: list[str]) -> Data
         *[F.struct(F.lit(c).alias("column"), F.col(c).alias("level")) for c in SERIES]
     )
     long = rows.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*")
-    return long.join(vocabulary, [*GROUP, "column", "level"], "left")
+    unseen = F.raise_error(F.concat_ws(" ", F.lit("unseen level"), "column", "level")).cast("int")
+    found = long.join(vocabulary, [*GROUP, "column", "level"], "left")
+    return found.withColumn("index", F.coalesce("index", unseen))
 
 
 def encode_wide(rows: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
-    """Full one-hot columns (no dropped level) followed by the numerics."""
+    """Full one-hot columns (no dropped level) followed by the numerics; an unseen level fails."""
+    known = F.lit(True)
+    for c, values in levels.items():
+        known = known & F.coalesce(F.col(c).isin(values), F.lit(False))
+    rows = rows.where(F.when(known, F.lit(True)).otherwise(F.raise_error(F.lit("unseen level")).cast("boolean")))
     hot = [
         (F.col(c) == level).cast("int").alias(f"{c}={level}")
         for c, values in levels.items()
@@ -86,7 +92,7 @@ def standardise(rows: DataFrame, state: DataFrame) -> DataFrame:
         .pivot("feature", FEATURES)
         .agg(F.first("mean").alias("m"), F.first("scale").alias("s"))
     )
-    joined = rows.join(wide, GROUP)
+    joined = rows.join(F.broadcast(wide), GROUP)  # one row per fold and horizon
     return joined.select(
         *[c for c in rows.columns if c not in FEATURES],
         *[((F.col(c) - F.col(f"`{c}_m`")) / F.col(f"`{c}_s`")).alias(c) for c in FEATURES],

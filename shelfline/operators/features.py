@@ -139,6 +139,14 @@ def _folds_at_origin(folds: list[Fold], days: int) -> Column:
     return F.explode(F.array_compact(F.array(*entries)))
 
 
+def last_days(folds: list[Fold], days: int) -> Column:
+    """Dates among the last ``days`` training days of any fold; plain ranges, so that scans prune."""
+    out = F.lit(False)
+    for fold in folds:
+        out = out | F.col("Date").between(F.lit(fold.end - timedelta(days=days - 1)), F.lit(fold.end))
+    return out
+
+
 def origin_features(panel: DataFrame, folds: list[Fold]) -> DataFrame:
     """One fixed-origin vector per (fold, series) at the day after the origin.
 
@@ -151,7 +159,7 @@ def origin_features(panel: DataFrame, folds: list[Fold]) -> DataFrame:
     framed = panel.select(
         *SERIES, "Date", F.col("Units_Sold").cast("double").alias("_u"), day_no().alias("_day")
     )
-    tagged = framed.select(*SERIES, "_u", "_day", _folds_at_origin(folds, size).alias("_f"))
+    tagged = framed.where(last_days(folds, size)).select(*SERIES, "_u", "_day", _folds_at_origin(folds, size).alias("_f"))
     u = F.col("_u")
     age = F.col("_f.origin_day") + 1 - F.col("_day")  # 1 = the origin day
     aggregates = [F.max(F.when(age == lag, u)).alias(f"lag_{lag}") for lag in LAGS]

@@ -22,6 +22,7 @@ from shelfline.fixed import (
     role_of,
 )
 from shelfline.functions.expr import explode_values
+from shelfline.operators.features import last_days
 
 STAGES = ("validation", "final_evaluation")
 
@@ -100,7 +101,7 @@ def baseline_history(panel: DataFrame, folds: list[Fold]) -> DataFrame:
         )
         for f in folds
     ]
-    tagged = panel.select(
+    tagged = panel.where(last_days(folds, 7)).select(
         *SERIES,
         "Date",
         F.col("Units_Sold").cast("double").alias("_u"),
@@ -176,7 +177,7 @@ def role_column(model: Column | str = "model") -> Column:
 
 def forecast_rows(
     predictions: DataFrame,
-    observed: DataFrame,
+    observed: DataFrame | None,
     folds: list[Fold],
     run_id: str,
     stage: str = "validation",
@@ -184,10 +185,14 @@ def forecast_rows(
     """One evidence row per (candidate, series).
 
     ``predictions`` has fold_id, series, horizon, model, configuration_id and
-    prediction; ``observed`` the realised total per fold, series and horizon.
+    prediction; ``observed`` the realised total per fold, series and horizon, or
+    None before outcomes may be read.
     """
-    target = observed.select("fold_id", *SERIES, "horizon", "observed_target")
-    joined = predictions.join(target, ["fold_id", *SERIES, "horizon"], "left")
+    if observed is None:
+        joined = predictions.withColumn("observed_target", F.lit(None).cast("double"))
+    else:
+        target = observed.select("fold_id", *SERIES, "horizon", "observed_target")
+        joined = predictions.join(target, ["fold_id", *SERIES, "horizon"], "left")
     shaped = joined.select(
         F.lit(run_id).alias("run_id"),
         F.lit(stage).alias("evaluation_stage"),

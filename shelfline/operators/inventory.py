@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.fixed import EVALUABLE_HORIZONS, GROUP_FIELDS, HORIZONS, RATES
-from shelfline.functions.expr import all_of, any_of, clean_text, finite, ratio, strict_date
+from shelfline.functions.expr import all_of, any_of, clean_text, finite, number, ratio, strict_date
 
 # fixed values: method approval statuses and required input columns
 METHOD_STATUS = "group_approved"
@@ -107,7 +107,7 @@ def calendar_date(df: DataFrame, name: str) -> Column:
 def finite_number(df: DataFrame, name: str) -> Column:
     if dict(df.dtypes)[name] == "boolean":
         return F.lit(None).cast("double")
-    value = F.col(name).try_cast("double")
+    value = number(name)
     return F.when(finite(value), value)
 
 

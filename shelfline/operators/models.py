@@ -23,8 +23,11 @@ from shelfline.operators.encode import encode, fit_encoder, scaler_state, standa
 from shelfline.operators.forecast import configuration_grid
 from shelfline.session import scratch_path, shared_dir
 
-NORMAL_SOLVER_LIMIT = 4096
+#: Solver of ridge, the same at every size.  "normal" is exact and takes up to 4,096
+#: columns (Spark raises beyond them); "l-bfgs" is iterative and takes any number.
+SOLVER = "normal"
 MAX_TREE_DEPTH = 30  # hard limit of Spark's tree ensembles
+MAX_BINS = 256
 
 
 @dataclass(frozen=True)
@@ -50,8 +53,10 @@ def estimator(
     configuration_id: str,
     label_spread: float,
     rows: int,
-    width: int,
     forest_trees: int = FOREST_TREES,
+    solver: str = SOLVER,
+    tree_depth: int = MAX_TREE_DEPTH,
+    bins: int = MAX_BINS,
 ):
     if model == "ridge":
         # Spark rescales the label; this penalty reproduces alpha on raw labels
@@ -59,14 +64,15 @@ def estimator(
             labelCol="target",
             elasticNetParam=0.0,
             standardization=False,
-            solver="normal" if width <= NORMAL_SOLVER_LIMIT else "l-bfgs",
+            solver=solver,
             regParam=RIDGE_ALPHA * label_spread / rows,
         )
     if model == "random_forest":
         return RandomForestRegressor(
             labelCol="target",
             numTrees=forest_trees,
-            maxDepth=MAX_TREE_DEPTH,
+            maxDepth=tree_depth,
+            maxBins=bins,
             featureSubsetStrategy="all",
             cacheNodeIds=True,
             maxMemoryInMB=1024,
@@ -80,6 +86,7 @@ def estimator(
             stepSize=rate,
             maxIter=iterations,
             maxDepth=depth,
+            maxBins=bins,
             subsamplingRate=subsample,
             cacheNodeIds=True,
             seed=SEED,
@@ -88,7 +95,11 @@ def estimator(
 
 
 def fit(
-    training: DataFrame, model: str, configuration_id: str, forest_trees: int = FOREST_TREES
+    training: DataFrame,
+    model: str,
+    configuration_id: str,
+    forest_trees: int = FOREST_TREES,
+    solver: str = SOLVER,
 ) -> Fitted:
     """Fit one candidate on the rows of one fold and horizon.
 
@@ -103,9 +114,8 @@ def fit(
     facts = training.agg(
         F.stddev_pop("target").alias("spread"), F.count(F.lit(1)).alias("n")
     ).first()
-    width = sum(len(labels) for labels in encoder.stages[0].labelsArray) + len(FEATURES)
     learner = estimator(
-        model, configuration_id, facts["spread"] or 1.0, facts["n"], width, forest_trees
+        model, configuration_id, facts["spread"] or 1.0, facts["n"], forest_trees, solver
     )
     fitted = learner.fit(encode(scaled, encoder).select("features", "target"))
     return Fitted(model, configuration_id, encoder, fitted, state)

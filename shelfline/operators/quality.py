@@ -22,6 +22,7 @@ from shelfline.fixed import (
 )
 from shelfline.functions.expr import (
     INF,
+    blank,
     clean_text,
     finite_or_null,
     number,
@@ -76,7 +77,7 @@ def _scalar_checks() -> list[tuple[str, Column]]:
         ("missing_cells", total([F.col(c).isNull() for c in PANEL_COLUMNS])),
         (
             "blank_cells",
-            total([F.coalesce(F.trim(F.col(c)) == "", F.lit(False)) for c in PANEL_COLUMNS]),
+            total([blank(c) for c in PANEL_COLUMNS]),
         ),
     ]
     checks += [(f"{c}_invalid_identifier", counted(~clean_text(c))) for c in IDENTIFIERS]
@@ -272,7 +273,7 @@ def missingness(panel: DataFrame) -> DataFrame:
     wide = panel.agg(
         *[F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in PANEL_COLUMNS],
         *[
-            F.count_if(F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(False))).alias(
+            F.count_if(blank(c)).alias(
                 f"b_{c}"
             )
             for c in PANEL_COLUMNS
@@ -345,7 +346,7 @@ def demand_contract(
     view = rows.select(*SERIES, day.alias("Date"), F.col("Units_Sold").alias("_raw"))
     if history_end is not None:
         view = view.withColumn("_raw", F.when(F.col("Date") <= F.lit(history_end), F.col("_raw")))
-    value = F.col("_raw").try_cast("double")
+    value = number("_raw")
     present = F.col("_raw").isNotNull()
     bad_units = present & (
         value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(INF)) | (value < 0) | (value % 1 != 0)

@@ -67,6 +67,13 @@ def validation_rows(spark, sf_dir):
     return fc.forecast_rows(candidate_predictions(demand, FOLDS[:4]), observed, FOLDS, RUN)
 
 
+def sealed_rows(spark, sf_dir, producers=None):
+    """Final forecasts from history alone: no scan of anything after the origin."""
+    demand = published_demand(spark, sf_dir)
+    predictions = candidate_predictions(demand, FOLDS[4:], producers)
+    return fc.forecast_rows(predictions, None, FOLDS, RUN, "final_evaluation")
+
+
 def final_rows(spark, sf_dir, producers=None):
     demand = published_demand(spark, sf_dir)
     observed = fo.observed_targets(fe.build_targets(demand, FULL_START, FULL_END), FOLDS[4:])

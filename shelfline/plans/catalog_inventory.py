@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfline.fixed import RATES, SERIES
 from shelfline.operators import export as ex
 from shelfline.operators import inventory as iv
-from shelfline.plans.backtest_fixture import CANDIDATES_SQL, final_rows
+from shelfline.plans.backtest_fixture import CANDIDATES_SQL, sealed_rows
 from shelfline.plans.catalog_profile import r
 from shelfline.plans.inventory_fixture import (
     FINAL_SQL,
@@ -40,7 +40,7 @@ EXPORT_COLUMNS = "SKU_ID, Warehouse_ID, forecast_origin, horizon, target_start_d
 FROM frows WHERE fold_id = 5 AND (horizon, model, configuration_id) IN ((1, 'lightgbm', 'GBM018'), (7, 'lightgbm', 'GBM011'), (14, 'xgboost', 'GBM022'), (28, 'xgboost', 'GBM003'))""",
 )
 def export_build(spark, sf_dir):
-    return r(ex.flat(ex.build_export(final_rows(spark, sf_dir))), "prediction")
+    return r(ex.flat(ex.build_export(sealed_rows(spark, sf_dir))), "prediction")
 
 
 @query(
@@ -52,7 +52,7 @@ def export_build(spark, sf_dir):
 )
 def designated_filter(spark, sf_dir):
     return (
-        final_rows(spark, sf_dir)
+        sealed_rows(spark, sf_dir)
         .where(ex.designated())
         .groupBy("model", "horizon", "configuration_id")
         .agg(F.count(F.lit(1)).alias("n_rows"))

@@ -56,13 +56,13 @@ MISSING_PARTS = [
     ("missing_cells", "sum(" + " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in PANEL_COLUMNS) + ")"),
     (
         "blank_cells",
-        "sum(" + " + ".join(f"COALESCE(CAST(trim({c}) = '' AS INTEGER), 0)" for c in PANEL_COLUMNS) + ")",
+        "sum(" + " + ".join(f"COALESCE(CAST(NOT regexp_matches({c}, '\\S') AS INTEGER), 0)" for c in PANEL_COLUMNS) + ")",
     ),
 ]
 ID_PARTS = [
     (
         f"{c}_invalid_identifier",
-        f"count(*) FILTER (NOT COALESCE(trim({c}) <> '' AND trim({c}) = {c}, false))",
+        f"count(*) FILTER (NOT COALESCE(regexp_full_match({c}, '\\S(.*\\S)?'), false))",
     )
     for c in IDENTIFIERS
 ]
@@ -269,8 +269,8 @@ def dq_numeric_ranges(spark, sf_dir):
 m AS (SELECT SKU_ID, Warehouse_ID, d, CASE WHEN d <= DATE '1997-12-02' THEN Units_Sold END AS u FROM v),
 k AS (SELECT SKU_ID, Warehouse_ID, d, count(*) AS c FROM m GROUP BY 1, 2, 3),
 g AS (SELECT c, date_diff('day', lag(d) OVER (PARTITION BY SKU_ID, Warehouse_ID ORDER BY d NULLS FIRST), d) AS step FROM k)
-SELECT 'SKU_ID_invalid_identifier' AS "check", count(*) FILTER (NOT COALESCE(trim(SKU_ID) <> '' AND trim(SKU_ID) = SKU_ID, false)) AS affected FROM m
-UNION ALL SELECT 'Warehouse_ID_invalid_identifier', count(*) FILTER (NOT COALESCE(trim(Warehouse_ID) <> '' AND trim(Warehouse_ID) = Warehouse_ID, false)) FROM m
+SELECT 'SKU_ID_invalid_identifier' AS "check", count(*) FILTER (NOT COALESCE(regexp_full_match(SKU_ID, '\\S(.*\\S)?'), false)) AS affected FROM m
+UNION ALL SELECT 'Warehouse_ID_invalid_identifier', count(*) FILTER (NOT COALESCE(regexp_full_match(Warehouse_ID, '\\S(.*\\S)?'), false)) FROM m
 UNION ALL SELECT 'invalid_dates', count(*) FILTER (d IS NULL) FROM m
 UNION ALL SELECT 'invalid_observed_units', count(*) FILTER (u IS NOT NULL AND (TRY_CAST(u AS DOUBLE) IS NULL OR TRY_CAST(u AS DOUBLE) < 0 OR TRY_CAST(u AS DOUBLE) % 1 <> 0)) FROM m
 UNION ALL SELECT 'duplicate_key_rows', CAST(COALESCE(sum(c) FILTER (c > 1), 0) AS BIGINT) FROM k

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfline.fixed import PRODUCERS, SERIES
 from shelfline.operators import export as ex
-from shelfline.plans.backtest_fixture import CANDIDATES_SQL, final_rows
+from shelfline.plans.backtest_fixture import CANDIDATES_SQL, sealed_rows
 from shelfline.sources.panels import (
     day_no,
     published_demand,
@@ -159,8 +159,8 @@ def ordered(list_sql: str) -> str:
 
 
 def final_export(spark, sf_dir):
-    """Designated final forecasts; a rule makes some quantities negative."""
-    rows = final_rows(spark, sf_dir, PRODUCERS)
+    """Designated final forecasts, made before any outcome is read; a rule makes some negative."""
+    rows = sealed_rows(spark, sf_dir, PRODUCERS)
     rule = (F.length("SKU_ID") + F.length("Warehouse_ID") + F.col("horizon")) % 7 == 0
     return ex.build_export(rows).withColumn(
         "prediction", F.when(rule, -F.col("prediction") - 1).otherwise(F.col("prediction"))

@@ -77,11 +77,12 @@ texts AS (
   SELECT k,
     CASE WHEN k % 211 = 0 THEN CAST(Date AS VARCHAR) || 'x' ELSE CAST(Date AS VARCHAR) END
       AS Date,
-    CASE WHEN k % 223 = 0 THEN ' ' || SKU_ID ELSE SKU_ID END AS SKU_ID,
-    CASE WHEN k % 227 = 0 THEN '  ' ELSE Warehouse_ID END AS Warehouse_ID,
+    CASE WHEN k % 223 = 0 THEN ' ' || SKU_ID WHEN k % 277 = 0 THEN SKU_ID || chr(9) ELSE SKU_ID END AS SKU_ID,
+    CASE WHEN k % 227 = 0 THEN '  ' WHEN k % 281 = 0 THEN chr(9) ELSE Warehouse_ID END AS Warehouse_ID,
     CASE WHEN k % 229 <> 0 THEN Supplier_ID END AS Supplier_ID,
     Region,
     CASE WHEN k % 233 = 0 THEN 'abc' WHEN k % 239 = 0 THEN '-3' WHEN k % 241 = 0 THEN '2.5'
+         WHEN k % 283 = 0 THEN '5d' WHEN k % 293 = 0 THEN '0x1p3'
          ELSE CAST(Units_Sold AS VARCHAR) END AS Units_Sold,
     CASE WHEN k % 251 = 0 THEN 'Infinity' ELSE CAST(Inventory_Level AS VARCHAR) END
       AS Inventory_Level,

@@ -60,21 +60,33 @@ def stored(df, label: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
-_PUBLISHED: dict[tuple[str, str], str] = {}
+_PUBLISHED: dict[tuple, str] = {}
 
 
-def published(spark: SparkSession, name: str, build):
+def _hadoop_path(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def source_identity(spark: SparkSession, paths: list[str]) -> tuple:
+    """Path, modification time and bytes of each source: changes when a source does."""
+    out = []
+    for path in paths:
+        found, fs = _hadoop_path(spark, path)
+        out.append((path, fs.getFileStatus(found).getModificationTime(), fs.getContentSummary(found).getLength()))
+    return tuple(out)
+
+
+def published(spark: SparkSession, name: str, sources: list[str], build):
     """A derived table that several jobs of one application read, written once.
 
     The first caller writes it below the shared folder; later callers open the
-    same files, or write again if the folder was cleared meanwhile.
+    same files, or write again if a source changed or the folder was cleared.
     """
-    key = (spark.sparkContext.applicationId, name)
+    key = (spark.sparkContext.applicationId, name, source_identity(spark, sources))
     path = _PUBLISHED.get(key)
     if path is not None:
-        jvm = spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        marker, fs = _hadoop_path(spark, f"{path}/_SUCCESS")
         if fs.exists(marker):
             return spark.read.parquet(path)
     df = build()

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(file, sha256) of every file below a folder, hashed on the executors."""
+    """(file, sha256) of every file below a folder, hashed on the executors.
+
+    ``file`` is the path relative to the folder, so equal base names stay apart.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .load(folder)
     )
-    name = F.element_at(F.split("path", "/"), -1)
+    root = urlparse(folder).path.rstrip("/") + "/"
+    name = F.expr("substring(path, instr(path, :root) + length(:root))".replace(":root", _literal(root)))
     return files.select(name.alias("file"), F.sha2("content", 256).alias("sha256"))
 
 

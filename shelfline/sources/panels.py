@@ -169,6 +169,7 @@ def published_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return published(
         spark,
         f"demand:{sf_dir}",
+        [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "part", "supplier", "nation", "region")],
         lambda: full_demand(spark, sf_dir).repartitionByRange(*SERIES, "Date"),
     )
 
@@ -260,14 +261,18 @@ def raw_panel_with_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     changes = {
         "Date": F.when(k % 211 == 0, F.concat(text("Date"), F.lit("x"))).otherwise(text("Date")),
-        "SKU_ID": F.when(k % 223 == 0, F.concat(F.lit(" "), text("SKU_ID"))).otherwise(
-            text("SKU_ID")
-        ),
-        "Warehouse_ID": F.when(k % 227 == 0, F.lit("  ")).otherwise(text("Warehouse_ID")),
+        "SKU_ID": F.when(k % 223 == 0, F.concat(F.lit(" "), text("SKU_ID")))
+        .when(k % 277 == 0, F.concat(text("SKU_ID"), F.lit("\t")))
+        .otherwise(text("SKU_ID")),
+        "Warehouse_ID": F.when(k % 227 == 0, F.lit("  "))
+        .when(k % 281 == 0, F.lit("\t"))
+        .otherwise(text("Warehouse_ID")),
         "Supplier_ID": F.when(k % 229 != 0, text("Supplier_ID")),
         "Units_Sold": F.when(k % 233 == 0, F.lit("abc"))
         .when(k % 239 == 0, F.lit("-3"))
         .when(k % 241 == 0, F.lit("2.5"))
+        .when(k % 283 == 0, F.lit("5d"))
+        .when(k % 293 == 0, F.lit("0x1p3"))
         .otherwise(text("Units_Sold")),
         "Inventory_Level": F.when(k % 251 == 0, F.lit("Infinity")).otherwise(
             text("Inventory_Level")

@@ -184,7 +184,7 @@ def test_ridge_reproduces_the_closed_form(spark):
     y = x @ np.array([2.0, -1.0, 0.5]) + 4 + rng.normal(size=200)
     df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, c double, target double")
     df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
-    model = estimator("ridge", "fixed", float(y.std()), len(y), 3).fit(df)
+    model = estimator("ridge", "fixed", float(y.std()), len(y)).fit(df)
     xc, yc = x - x.mean(0), y - y.mean()
     want = np.linalg.solve(xc.T @ xc + np.eye(3), xc.T @ yc)
     assert np.allclose(model.coefficients.toArray(), want, atol=1e-6)
