@@ -99,6 +99,15 @@ def exact_percentiles(
     return ranked.groupBy(*by).agg(*moments, *columns)
 
 
+def column_medians(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """(``name``, median) of each listed column over the whole table."""
+    entries = F.array(
+        *[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias("_x")) for c in columns]
+    )
+    long = df.select(F.explode(entries).alias("e")).select("e.*")
+    return exact_percentiles(long, [name], "_x", {"median": 0.5})
+
+
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, mean, std, min, quartiles and max of ``value`` per group.
 

@@ -138,11 +138,11 @@ def build_records(
     )
     components = ["forecast", "decision_support"] + (["inventory_risk"] if linked else [])
     target = F.concat(
-        F.lit("Target interval "),
+        F.lit("The target runs from "),
         F.col("target_start_date").cast("string"),
-        F.lit(" through "),
+        F.lit(" to "),
         F.col("target_end_date").cast("string"),
-        F.lit(" is inclusive."),
+        F.lit(", both days included."),
     )
     shaped = joined.select(
         *SERIES,
@@ -169,7 +169,7 @@ def build_records(
             F.coalesce("_limitations", no_text),
         ).alias("limitations"),
         F.lit("not_assessed").alias("human_review_status"),
-        F.array(F.lit("Human review has not yet been assessed.")).alias("human_review_reasons"),
+        F.array(F.lit("No person has reviewed this record yet.")).alias("human_review_reasons"),
         unavailable.alias("unavailable_fields"),
         F.create_map(*[F.lit(x) for c in components for x in (c, c)]).alias("component_provenance"),
     )

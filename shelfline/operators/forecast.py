@@ -248,24 +248,29 @@ POPULATION_KEYS = ["model", "horizon", "configuration_id", "fold_id", *SERIES]
 
 
 def run_completion(scores: DataFrame, plan: list[tuple]) -> DataFrame:
-    """Completed against planned candidates per role and the run status."""
+    """Completed against planned candidates per role; a planned role without any score has zero."""
     planned: dict[str, int] = {}
     for role, *_ in plan:
         planned[role] = planned.get(role, 0) + 1
-    expected = F.lit(0)
-    for role, n in planned.items():
-        expected = F.when(F.col("evidence_role") == role, F.lit(n)).otherwise(expected)
+    roster = scores.sparkSession.createDataFrame(sorted(planned.items()), "evidence_role string, expected long")
+    done = scores.groupBy("evidence_role").agg(
+        F.count(F.lit(1)).alias("completed"),
+        F.count_if(F.col("metric_status") == "valid").alias("valid"),
+    )
+    zero = F.lit(0).cast("long")
     return (
-        scores.groupBy("evidence_role")
-        .agg(
-            F.count(F.lit(1)).alias("completed"),
-            F.count_if(F.col("metric_status") == "valid").alias("valid"),
+        done.join(F.broadcast(roster), "evidence_role", "full_outer")
+        .select(
+            "evidence_role",
+            F.coalesce("completed", zero).alias("completed"),
+            "valid",
+            F.coalesce("expected", zero).alias("expected"),
         )
         .select(
             "evidence_role",
             "completed",
-            expected.cast("long").alias("expected"),
-            (F.col("completed") == expected).alias("plan_complete"),
+            "expected",
+            (F.col("completed") == F.col("expected")).alias("plan_complete"),
             F.when(F.col("valid") == F.col("completed"), "all_valid")
             .otherwise("unavailable_metrics_present")
             .alias("metric_state"),

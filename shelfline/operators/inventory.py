@@ -607,7 +607,10 @@ def evaluate(
 
 
 def forecast_inventory_inputs(export: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Forecasts with the snapshot of exactly their origin day, if there is one."""
+    """Forecasts with the snapshot of exactly their origin day, if there is one.
+
+    Two snapshots of one series and day fail the job: the join is many-to-one.
+    """
     optional = [
         c
         for c in (
@@ -630,7 +633,16 @@ def forecast_inventory_inputs(export: DataFrame, inventory: DataFrame) -> DataFr
         *optional,
         F.lit(True).alias("_matched"),
     )
-    joined = export.join(snapshots, ["SKU_ID", "Warehouse_ID", "forecast_origin"], "left")
+    key = ["SKU_ID", "Warehouse_ID", "forecast_origin"]
+    rest = [c for c in snapshots.columns if c not in key]
+    repeated = F.raise_error(F.concat_ws(" ", F.lit("duplicate snapshot of"), *key)).cast("boolean")
+    single = (
+        snapshots.groupBy(*key)
+        .agg(F.first(F.struct(*rest)).alias("_s"), F.count(F.lit(1)).alias("_n"))
+        .where(F.when(F.col("_n") > 1, repeated).otherwise(F.lit(True)))
+        .select(*key, *[F.col(f"_s.{c}").alias(c) for c in rest])
+    )
+    joined = export.join(single, key, "left")
     unmatched = F.col("_matched").isNull()
     marker = _optional(inventory, "origin_snapshot_available", "boolean")
     given = _optional(inventory, "origin_snapshot_unavailable_reason", "string")

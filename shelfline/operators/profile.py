@@ -1,7 +1,7 @@
 """Descriptive demand and inventory profiles.
 
-Group medians use ``percentile`` where the domain is integer demand; statistics
-taken over series use the binned exact quantiles.  Windows without a partition
+Medians of demand within a series, a period or a place use ``percentile`` over
+their days; statistics over all rows or over series use the binned exact quantiles.  Windows without a partition
 key run only over tables already aggregated to one row per day or month, whose
 length is bounded by the calendar.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfline.fixed import INVENTORY_COLUMNS, KEY, PROFILE_LAGS, SERIES
 from shelfline.functions.expr import count_if, pearson, ratio, share, unpivot_named
-from shelfline.functions.quantiles import describe, exact_percentiles
+from shelfline.functions.quantiles import column_medians, describe, exact_percentiles
 from shelfline.sources.panels import day_no
 
 
@@ -68,19 +68,13 @@ DISTRIBUTION = {
 
 
 def distribution(panel: DataFrame) -> DataFrame:
-    """describe() of native demand with seven percentiles, long form."""
-    units = F.col("Units_Sold")
-    wide = panel.agg(
-        F.count(units).cast("double").alias("n"),
-        F.avg(units).alias("avg"),
-        F.stddev_samp(units).alias("sd"),
-        F.min(units).cast("double").alias("lo"),
-        F.percentile(units, list(DISTRIBUTION.values())).alias("q"),
-        F.max(units).cast("double").alias("hi"),
-    )
-    pairs = [("count", F.col("n")), ("mean", F.col("avg")), ("std", F.col("sd")), ("min", F.col("lo"))]
-    pairs += [(name, F.col("q")[i]) for i, name in enumerate(DISTRIBUTION)]
-    pairs.append(("max", F.col("hi")))
+    """describe() of native demand with seven percentiles, long form; no rows for no demand."""
+    units = panel.select(F.lit("units").alias("variable"), "Units_Sold")
+    names = {f"p{i}": p for i, p in enumerate(DISTRIBUTION.values())}
+    wide = exact_percentiles(units, ["variable"], "Units_Sold", names, with_moments=True)
+    pairs = [("count", F.col("count").cast("double")), *[(c, F.col(c).cast("double")) for c in ("mean", "std", "min")]]
+    pairs += [(name, F.col(f"p{i}")) for i, name in enumerate(DISTRIBUTION)]
+    pairs.append(("max", F.col("max").cast("double")))
     return unpivot_named(wide, pairs, "statistic", "value")
 
 
@@ -98,22 +92,30 @@ def week_start(c: str = "Date") -> Column:
     return F.to_date(F.date_trunc("week", F.col(c)))
 
 
-def regrain(panel: DataFrame, grain: str) -> DataFrame:
-    """Demand totals at one candidate grain as (analytical_unit, series, period)."""
+def _grain_keys(grain: str) -> list[Column]:
     if grain == "sku_day":
-        keys = [F.col("SKU_ID"), F.lit(None).cast("string"), F.col("Date")]
-    elif grain == "sku_warehouse_day":
-        keys = [F.col("SKU_ID"), F.col("Warehouse_ID"), F.col("Date")]
-    elif grain == "sku_week":
-        keys = [F.col("SKU_ID"), F.lit(None).cast("string"), week_start()]
-    else:
-        raise ValueError(f"unknown grain {grain}")
+        return [F.col("SKU_ID"), F.lit(None).cast("string"), F.col("Date")]
+    if grain == "sku_warehouse_day":
+        return [F.col("SKU_ID"), F.col("Warehouse_ID"), F.col("Date")]
+    if grain == "sku_week":
+        return [F.col("SKU_ID"), F.lit(None).cast("string"), week_start()]
+    raise ValueError(f"unknown grain {grain}")
+
+
+def regrain(panel: DataFrame, *grains: str) -> DataFrame:
+    """Demand totals at candidate grains as (analytical_unit, series, period), from one pass."""
     names = ["SKU_ID", "Warehouse_ID", "period"]
+    keyed = F.array(
+        *[
+            F.struct(F.lit(g).alias("analytical_unit"), *[k.alias(n) for k, n in zip(_grain_keys(g), names)])
+            for g in grains
+        ]
+    )
     return (
-        panel.select(*[k.alias(n) for k, n in zip(keys, names)], "Units_Sold")
-        .groupBy(*names)
+        panel.select(F.explode(keyed).alias("g"), "Units_Sold")
+        .groupBy(*[F.col(f"g.{n}").alias(n) for n in ["analytical_unit", *names]])
         .agg(F.sum("Units_Sold").alias("demand"))
-        .withColumn("analytical_unit", F.lit(grain))
+        .select(*names, "demand", "analytical_unit")
     )
 
 
@@ -122,9 +124,7 @@ GRAINS = ("sku_day", "sku_warehouse_day", "sku_week")
 
 def series_by_grain(panel: DataFrame) -> DataFrame:
     """Per-series completeness, sparsity, variation and short-lag dependence."""
-    rows = regrain(panel, GRAINS[0])
-    for grain in GRAINS[1:]:
-        rows = rows.unionByName(regrain(panel, grain))
+    rows = regrain(panel, *GRAINS)
     key = ["analytical_unit", *SERIES]
     before = F.lag("demand").over(Window.partitionBy(*key).orderBy("period"))
     step = F.when(F.col("analytical_unit") == "sku_week", 7).otherwise(1)
@@ -290,7 +290,6 @@ def warehouse_coverage(panel: DataFrame) -> DataFrame:
 def inventory_ranges(panel: DataFrame) -> DataFrame:
     wide = panel.agg(
         *[F.min(c).cast("double").alias(f"lo_{c}") for c in INVENTORY_COLUMNS],
-        *[F.median(c).alias(f"med_{c}") for c in INVENTORY_COLUMNS],
         *[F.avg(c).alias(f"avg_{c}") for c in INVENTORY_COLUMNS],
         *[F.max(c).cast("double").alias(f"hi_{c}") for c in INVENTORY_COLUMNS],
         *[share(F.col(c) == 0).alias(f"z_{c}") for c in INVENTORY_COLUMNS],
@@ -300,7 +299,6 @@ def inventory_ranges(panel: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(c).alias("variable"),
                 F.col(f"lo_{c}").alias("min"),
-                F.col(f"med_{c}").alias("median"),
                 F.col(f"avg_{c}").alias("mean"),
                 F.col(f"hi_{c}").alias("max"),
                 F.col(f"z_{c}").alias("zero_share"),
@@ -308,7 +306,9 @@ def inventory_ranges(panel: DataFrame) -> DataFrame:
             for c in INVENTORY_COLUMNS
         ]
     )
-    return wide.select(F.explode(entries).alias("e")).select("e.*")
+    rest = wide.select(F.explode(entries).alias("e")).select("e.*")
+    medians = column_medians(panel, INVENTORY_COLUMNS, "variable")
+    return rest.join(medians, "variable", "left").select("variable", "min", "median", "mean", "max", "zero_share")
 
 
 # --- monthly shapes ---------------------------------------------------------
@@ -463,7 +463,7 @@ def lag_summary(panel: DataFrame) -> DataFrame:
     level, differenced = F.col("kind") == "level", F.col("kind") == "diff"
     # lags without any defined correlation keep a row with a zero count
     roster = F.explode(F.array(*[F.lit(lag) for lag in PROFILE_LAGS])).alias("lag_days")
-    known = panel.agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").select(roster)
+    known = lags.limit(1).select(roster)
     return (
         known.join(stats, "lag_days", "left")
         .groupBy("lag_days")
@@ -595,29 +595,35 @@ def promotion_effect_summary(panel: DataFrame) -> DataFrame:
 
 
 def total_reconciliation(panel: DataFrame) -> DataFrame:
-    """Every roll-up returns the source total."""
-    source = panel.agg(F.sum("Units_Sold").alias("t")).scalar()
-    checks = None
-    for name, keys in {
+    """Every roll-up returns the source total; all roll-ups come from one pass (GROUPING SETS)."""
+    rollups = {
         "daily totals equal source": ["Date"],
         "monthly totals equal source": ["month"],
         "SKU totals equal source": ["SKU_ID", "month"],
         "warehouse totals equal source": ["Warehouse_ID", "month"],
-    }.items():
-        rolled = panel.withColumn("month", month_label()).groupBy(*keys).agg(
-            F.sum("Units_Sold").alias("total")
-        )
-        row = rolled.agg(F.sum("total").alias("t")).select(
-            F.lit(name).alias("check"), (F.col("t") == source).alias("passed")
-        )
-        checks = row if checks is None else checks.unionByName(row)
-    promoted = panel.groupBy("Promotion_Flag").agg(F.count(F.lit(1)).alias("rows"))
-    rows = panel.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return checks.unionByName(
-        promoted.agg(F.sum("rows").alias("t")).select(
-            F.lit("promotion counts equal source").alias("check"),
-            (F.col("t") == rows).alias("passed"),
-        )
+        "promotion counts equal source": ["Promotion_Flag"],
+        "source": [],
+    }
+    columns = ["Date", "month", *SERIES, "Promotion_Flag"]
+    which = F.lit(None).cast("string")
+    for name, keys in rollups.items():
+        code = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys)
+        which = F.when(F.grouping_id(*columns) == code, name).otherwise(which)
+    rolled = (
+        panel.select(*[c for c in columns if c != "month"], month_label().alias("month"), "Units_Sold")
+        .groupingSets([[F.col(c) for c in keys] for keys in rollups.values()], *columns)
+        .agg(which.alias("check"), F.sum("Units_Sold").alias("total"), F.count(F.lit(1)).alias("rows"))
+    )
+    sums = rolled.groupBy("check").agg(F.sum("total").alias("total"), F.sum("rows").alias("rows"))
+    source = F.max(F.when(F.col("check") == "source", F.struct("total", "rows")))
+    everything = Window.partitionBy(F.lit(0))  # six rows
+    passed = F.when(F.col("check") == "promotion counts equal source", F.col("rows") == F.col("_s.rows")).otherwise(
+        F.col("total") == F.col("_s.total")
+    )
+    return (
+        sums.withColumn("_s", source.over(everything))
+        .where("check != 'source'")
+        .select("check", passed.alias("passed"))
     )
 
 

@@ -30,6 +30,7 @@ from shelfline.functions.expr import (
     unpivot_named,
 )
 from shelfline.functions.grids import crossed
+from shelfline.functions.quantiles import column_medians
 
 
 class SourceDefects(ValueError):
@@ -315,7 +316,6 @@ def numeric_ranges(panel: DataFrame) -> DataFrame:
         *[F.min(c).cast("double").alias(f"lo_{c}") for c in NUMERIC],
         *[F.max(c).cast("double").alias(f"hi_{c}") for c in NUMERIC],
         *[F.avg(c).alias(f"avg_{c}") for c in NUMERIC],
-        *[F.median(c).alias(f"med_{c}") for c in NUMERIC],
     )
     entries = F.array(
         *[
@@ -324,12 +324,12 @@ def numeric_ranges(panel: DataFrame) -> DataFrame:
                 F.col(f"lo_{c}").alias("min"),
                 F.col(f"hi_{c}").alias("max"),
                 F.col(f"avg_{c}").alias("mean"),
-                F.col(f"med_{c}").alias("median"),
             )
             for c in NUMERIC
         ]
     )
-    return wide.select(F.explode(entries).alias("e")).select("e.*")
+    rest = wide.select(F.explode(entries).alias("e")).select("e.*")
+    return rest.join(column_medians(panel, NUMERIC, "column"), "column", "left")
 
 
 def demand_contract(

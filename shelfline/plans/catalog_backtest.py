@@ -312,9 +312,10 @@ def eligibility_by_model(spark, sf_dir):
     "run_completion",
     "A37",
     with_(*CANDIDATES_SQL, SCORE_SQL)
-    + """SELECT evidence_role, count(*) AS completed, CASE evidence_role WHEN 'primary' THEN CAST(1152 AS BIGINT) ELSE 32 END AS expected,
-count(*) = CASE evidence_role WHEN 'primary' THEN 1152 ELSE 32 END AS plan_complete,
-CASE WHEN bool_and(metric_status = 'valid') THEN 'all_valid' ELSE 'unavailable_metrics_present' END AS metric_state FROM scores WHERE fold_id <= 4 GROUP BY 1""",
+    + """, roster AS (SELECT * FROM (VALUES ('primary', CAST(1152 AS BIGINT)), ('supportive', 32), ('simple_baseline', 32)) AS t(evidence_role, expected)),
+done AS (SELECT evidence_role, count(*) AS completed, bool_and(metric_status = 'valid') AS fine FROM scores WHERE fold_id <= 4 GROUP BY 1)
+SELECT evidence_role, COALESCE(completed, 0) AS completed, expected, COALESCE(completed, 0) = expected AS plan_complete,
+CASE WHEN fine THEN 'all_valid' ELSE 'unavailable_metrics_present' END AS metric_state FROM roster LEFT JOIN done USING (evidence_role)""",
 )
 def run_completion(spark, sf_dir):
     return fc.run_completion(me.score(validation_rows(spark, sf_dir), SCORE_KEYS), PLAN)

@@ -134,11 +134,7 @@ grains AS (
     + "SELECT analytical_unit, SKU_ID, Warehouse_ID, period, demand FROM grains",
 )
 def regrain(spark, sf_dir):
-    panel = gap_panel(spark, sf_dir)
-    rows = pr.regrain(panel, pr.GRAINS[0])
-    for grain in pr.GRAINS[1:]:
-        rows = rows.unionByName(pr.regrain(panel, grain))
-    return rows
+    return pr.regrain(gap_panel(spark, sf_dir), *pr.GRAINS)
 
 
 STATS_SQL = """
