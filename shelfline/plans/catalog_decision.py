@@ -36,6 +36,7 @@ from shelfline.plans.inventory_fixture import (
 )
 from shelfline.plans.oracle_base import DEMAND, GAP, PANEL, with_
 from shelfline.plans.registry import query
+from shelfline.session import stored
 from shelfline.sources.panels import full_demand, full_panel, gap_panel
 
 POLICY = "constructed-origin"
@@ -525,9 +526,10 @@ def view_source_check(spark, sf_dir):
 
 
 def _stored_evidence(spark, sf_dir):
-    rows = validation_rows(spark, sf_dir)
-    scores = me.score(rows, SCORE_KEYS)
-    return rows, scores, me.select_leaders(me.configuration_summary(scores))
+    """Evidence as it was written: verification reads tables, never the expressions behind them."""
+    rows = stored(validation_rows(spark, sf_dir), "evidence-rows")
+    scores = stored(me.score(rows, SCORE_KEYS), "evidence-scores")
+    return rows, scores, stored(me.select_leaders(me.configuration_summary(scores)), "evidence-selected")
 
 
 @query(

@@ -217,9 +217,7 @@ ORIGIN = date(1997, 12, 2)
 def request_table(spark, sf_dir):
     """One request per series and horizon, broken by rule."""
     skus, whs = rank_tables(spark, sf_dir)
-    demand = published_demand(spark, sf_dir).where(
-        (F.col("Date") <= F.lit(ORIGIN)) & (F.col("Date") > F.date_sub(F.lit(ORIGIN), 60))
-    )
+    demand = published_demand(spark, sf_dir).where(F.col("Date") <= F.lit(ORIGIN))
     base = (
         demand.groupBy(*SERIES)
         .agg(F.array_sort(F.collect_list(F.struct("Date", "Units_Sold"))).alias("_h"))
@@ -229,7 +227,7 @@ def request_table(spark, sf_dir):
         .withColumn("k", F.col("_sn") * 20 + F.col("_wn") * 4 + F.col("horizon"))
     )
     k = F.col("k")
-    kept = F.when(k % 11 == 0, F.slice("_h", 40, 21)).otherwise(F.col("_h"))
+    kept = F.when(k % 11 == 0, F.slice("_h", -21, 21)).otherwise(F.col("_h"))
     entries = F.transform(
         kept,
         lambda e, i: F.struct(
@@ -435,9 +433,8 @@ def score_request_stream(spark, sf_dir):
     folder = scratch_path(spark, "requests")
     request_table(spark, sf_dir).drop("k").write.mode("errorifexists").json(folder)
     demand = published_demand(spark, sf_dir)
-    # vocabularies of the loaded model: one dimension's levels each
-    skus = [x[0] for x in demand.select("SKU_ID").distinct().collect()]
-    whs = [x[0] for x in demand.select("Warehouse_ID").distinct().collect()]
+    skus = stored(demand.select("SKU_ID").distinct(), "skus")
+    whs = stored(demand.select("Warehouse_ID").distinct(), "warehouses")
     responses = stream.score_stream(
         stream.read_request_stream(spark, folder), skus, whs, ORIGIN, _naive_scorers()
     )

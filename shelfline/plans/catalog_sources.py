@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfline.fixed import FOLD_METRIC_COLUMNS, PANEL_COLUMNS, SERIES
+from shelfline.fixed import FOLD_METRIC_COLUMNS, MODEL_ORDER, PANEL_COLUMNS, SERIES
 from shelfline.functions.grids import multiset_difference
 from shelfline.operators import features as fe
 from shelfline.operators import folds as fo
@@ -201,8 +201,9 @@ def evidence_csv(spark, sf_dir):
     keys = [c for c in FOLD_METRIC_COLUMNS[: FOLD_METRIC_COLUMNS.index("n_predictions")]]
     scores = me.score(validation_rows(spark, sf_dir), keys)
     path = scratch_path(spark, "fold-metrics")
+    rank = F.array_position(F.array(*[F.lit(m) for m in MODEL_ORDER]), F.col("model"))
     cs.sink_evidence_csv(
-        scores, FOLD_METRIC_COLUMNS, path, ["model", "horizon", "configuration_id", "fold_id"]
+        scores, FOLD_METRIC_COLUMNS, path, [rank, "horizon", "configuration_id", "fold_id"]
     )
     back = cs.scan_evidence_csv(spark, path, METRIC_SCHEMA)
     return r(back, "wape", "mae", "rmse", "bias", "wape_denominator")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,7 @@ def write_csv(df: DataFrame, path: str) -> None:
     ).csv(path)
 
 
-def sink_evidence_csv(df: DataFrame, columns: list[str], path: str, order: list[str]) -> None:
+def sink_evidence_csv(df: DataFrame, columns: list[str], path: str, order: list[Column | str]) -> None:
     """Fixed-schema evidence table in protocol order; booleans as true/false."""
     shaped = []
     for name in columns:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.operators.requests import REQUEST_SCHEMA, Scorer, classify, score_requests
+from shelfline.operators.requests import REQUEST_SCHEMA, Scorer, classify_with_tables, score_requests
 
 
 def read_request_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -27,12 +27,13 @@ def read_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 def score_stream(
     requests: DataFrame,
-    skus: list[str],
-    warehouses: list[str],
+    skus: DataFrame,
+    warehouses: DataFrame,
     training_end,
     scorers: dict[int, tuple[str, str, Scorer]],
 ) -> DataFrame:
-    return score_requests(classify(requests, skus, warehouses, training_end), scorers)
+    """``skus`` and ``warehouses`` are static tables of the levels the model knows, of any size."""
+    return score_requests(classify_with_tables(requests, skus, warehouses, training_end), scorers)
 
 
 def start_scoring(responses: DataFrame, output: str, checkpoint: str):
