@@ -244,18 +244,20 @@ def score_requests(
 def changed_history(requests: DataFrame, increment: float = 10.0) -> DataFrame:
     """Requests with the last day's quantity raised by a constant."""
     newest = F.array_max(F.transform("history", lambda e: e["Date"]))
-    return requests.withColumn(
-        "history",
-        F.transform(
+
+    def raised(day: Column) -> Column:
+        return F.transform(
             "history",
             lambda e: F.struct(
                 e["Date"].alias("Date"),
-                F.when(e["Date"] == newest, e["Units_Sold"] + increment)
+                F.when(e["Date"] == day, e["Units_Sold"] + increment)
                 .otherwise(e["Units_Sold"])
                 .alias("Units_Sold"),
             ),
-        ),
-    )
+        )
+
+    # the newest day is bound once per request, not looked for again at every entry
+    return requests.withColumn("history", F.element_at(F.transform(F.array(newest), raised), 1))
 
 
 # fixed values: keys a response may carry, and keys it may never carry
