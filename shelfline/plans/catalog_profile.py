@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from shelfline.fixed import INVENTORY_COLUMNS, PROFILE_LAGS, SERIES
 from shelfline.operators import profile as pr
-from shelfline.plans.oracle_base import DEMAND, EVENT, GAP, PANEL, with_
+from shelfline.plans import oracle_base
+from shelfline.plans.oracle_base import EVENT, GAP, whole, with_
 from shelfline.plans.registry import query
-from shelfline.sources.panels import event_panel, full_demand, full_panel, gap_panel
+from shelfline.sources import panels
+from shelfline.sources.panels import event_panel, gap_panel
+
+# descriptions cover the whole log
+DEMAND, PANEL = whole(oracle_base.DEMAND), whole(oracle_base.PANEL)
+full_demand = partial(panels.full_demand, whole=True)
+full_panel = partial(panels.full_panel, whole=True)
 
 
 def r(df, *names, digits=6):

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import partial
 
 from pyspark.sql import functions as F
 
 from shelfline.fixed import COUNTS, FLAGS, IDENTIFIERS, MONEY, NUMERIC, PANEL_COLUMNS, SERIES
 from shelfline.operators import quality as dq
-from shelfline.plans.oracle_base import DEMAND, GAP, PANEL, RAW, with_
+from shelfline.plans import oracle_base
+from shelfline.plans.oracle_base import GAP, whole, with_
 from shelfline.plans.registry import query
-from shelfline.sources.panels import (
-    full_demand,
-    full_panel,
-    gap_panel,
-    raw_panel,
-    raw_panel_with_defects,
-)
+from shelfline.sources import panels
+from shelfline.sources.panels import gap_panel
+
+# checks cover the whole log
+DEMAND, PANEL, RAW = whole(oracle_base.DEMAND), whole(oracle_base.PANEL), whole(oracle_base.RAW)
+full_demand = partial(panels.full_demand, whole=True)
+full_panel = partial(panels.full_panel, whole=True)
+raw_panel = partial(panels.raw_panel, whole=True)
+raw_panel_with_defects = partial(panels.raw_panel_with_defects, whole=True)
 
 DATE_SQL = (
     "CASE WHEN regexp_full_match(Date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(Date AS DATE) END"

@@ -109,5 +109,17 @@ raw AS (
 )
 
 
+def whole(sql: str) -> str:
+    """The same tables over every day of the log instead of the panel year."""
+    span = (
+        "(SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d FROM (SELECT min(CAST(l_shipdate AS DATE)) AS lo, "
+        "max(CAST(l_shipdate AS DATE)) AS hi FROM lineitem)) AS g(d)"
+    )
+    year = "DATE '1997-01-01' AND DATE '1997-12-30'"
+    return sql.replace(f"  WHERE CAST(l_shipdate AS DATE) BETWEEN {year}\n", "").replace(
+        "generate_series(DATE '1997-01-01', DATE '1997-12-30', INTERVAL 1 DAY) AS g(d)", span
+    )
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(part.strip() for part in ctes)

@@ -87,17 +87,24 @@ def warehouse_of_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_span(spark: SparkSession, sf_dir: str) -> tuple[Column, Column]:
+    """First and last day of the whole log, as scalar subqueries."""
+    days = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d"))
+    return days.agg(F.min("d")).scalar(), days.agg(F.max("d")).scalar()
+
+
 def sales_log(
-    spark: SparkSession, sf_dir: str, start: date = FULL_START, end: date = FULL_END
+    spark: SparkSession, sf_dir: str, start: date | None = FULL_START, end: date | None = FULL_END
 ) -> DataFrame:
-    """Transactions of one scope; the date bounds reach the Parquet scan."""
+    """Transactions of one scope, or all without bounds; date bounds reach the Parquet scan."""
     ship = F.col("l_shipdate")
-    lower = F.lit(f"{start} 00:00:00").cast("timestamp_ntz")
-    upper = F.lit(f"{end} 23:59:59.999999").cast("timestamp_ntz")
+    log = table(spark, sf_dir, "lineitem")
+    if start is not None:
+        log = log.where(ship >= F.lit(f"{start} 00:00:00").cast("timestamp_ntz"))
+    if end is not None:
+        log = log.where(ship <= F.lit(f"{end} 23:59:59.999999").cast("timestamp_ntz"))
     return (
-        table(spark, sf_dir, "lineitem")
-        .where((ship >= lower) & (ship <= upper))
-        .select("l_partkey", "l_suppkey", "l_quantity", F.to_date(ship).alias("Date"))
+        log.select("l_partkey", "l_suppkey", "l_quantity", F.to_date(ship).alias("Date"))
         .join(
             table(spark, sf_dir, "part").select(
                 "p_partkey", F.col("p_type").alias("SKU_ID")
@@ -113,7 +120,7 @@ def sales_log(
 
 
 def observed_daily(
-    spark: SparkSession, sf_dir: str, start: date = FULL_START, end: date = FULL_END
+    spark: SparkSession, sf_dir: str, start: date | None = FULL_START, end: date | None = FULL_END
 ) -> DataFrame:
     """Days that had at least one transaction."""
     return (
@@ -123,7 +130,7 @@ def observed_daily(
     )
 
 
-def spread_over_calendar(daily: DataFrame, start: date, end: date) -> DataFrame:
+def spread_over_calendar(daily: DataFrame, start: date | Column, end: date | Column) -> DataFrame:
     """Turn a transaction log's day totals into a dense daily panel.
 
     Each observed day emits itself and the empty days before it (the last one
@@ -131,8 +138,9 @@ def spread_over_calendar(daily: DataFrame, start: date, end: date) -> DataFrame:
     the series partitioning for the windows that follow.
     """
     w = Window.partitionBy(*SERIES).orderBy("Date")
-    first = F.coalesce(F.date_add(F.lag("Date").over(w), 1), F.lit(start))
-    last = F.when(F.lead("Date").over(w).isNull(), F.lit(end)).otherwise(F.col("Date"))
+    start, end = (d if isinstance(d, Column) else F.lit(d) for d in (start, end))
+    first = F.coalesce(F.date_add(F.lag("Date").over(w), 1), start)
+    last = F.when(F.lead("Date").over(w).isNull(), end).otherwise(F.col("Date"))
     return (
         daily.withColumn("_first", first)
         .withColumn("_last", last)
@@ -154,30 +162,32 @@ def spread_over_calendar(daily: DataFrame, start: date, end: date) -> DataFrame:
     )
 
 
-def full_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part type x region x day over the panel year; no transaction = 0 units."""
+def full_demand(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """part type x region x day over the panel year, or the whole log; no transaction = 0 units."""
+    if whole:
+        return spread_over_calendar(observed_daily(spark, sf_dir, None, None), *whole_span(spark, sf_dir))
     return spread_over_calendar(
         observed_daily(spark, sf_dir), FULL_START, FULL_END
     )
 
 
-def published_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+def published_demand(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """`full_demand` as a stored table for jobs that read it several times.
 
     Range partitioning by series keeps file sizes even whatever a series weighs.
     """
     return published(
         spark,
-        f"demand:{sf_dir}",
+        f"demand:{sf_dir}:{whole}",
         [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "part", "supplier", "nation", "region")],
-        lambda: full_demand(spark, sf_dir).repartitionByRange(*SERIES, "Date"),
+        lambda: full_demand(spark, sf_dir, whole).repartitionByRange(*SERIES, "Date"),
     )
 
 
-def published_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def published_panel(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The 15-column panel over the stored demand table."""
     skus, warehouses = rank_tables(spark, sf_dir)
-    return with_inventory(published_demand(spark, sf_dir), skus, warehouses).select(*PANEL_COLUMNS)
+    return with_inventory(published_demand(spark, sf_dir, whole), skus, warehouses).select(*PANEL_COLUMNS)
 
 
 def _rank_table(values: DataFrame, name: str, rank: str) -> DataFrame:
@@ -231,22 +241,22 @@ def rank_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return skus, warehouses
 
 
-def full_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def full_panel(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The validated 15-column panel over the dense demand panel."""
     skus, warehouses = rank_tables(spark, sf_dir)
-    return with_inventory(full_demand(spark, sf_dir), skus, warehouses).select(*PANEL_COLUMNS)
+    return with_inventory(full_demand(spark, sf_dir, whole), skus, warehouses).select(*PANEL_COLUMNS)
 
 
-def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_panel(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The 15-column panel as source text, clean."""
-    p = published_panel(spark, sf_dir)
+    p = published_panel(spark, sf_dir, whole)
     return p.select(*[F.col(c).cast("string").alias(c) for c in PANEL_COLUMNS])
 
 
-def raw_panel_with_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_panel_with_defects(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Source text with every kind of defect, placed by a deterministic rule."""
     skus, warehouses = rank_tables(spark, sf_dir)
-    demand = published_demand(spark, sf_dir)
+    demand = published_demand(spark, sf_dir, whole)
     keyed = (
         with_inventory(demand, skus, warehouses)
         .join(skus, "SKU_ID")
