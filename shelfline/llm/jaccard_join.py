@@ -232,8 +232,8 @@ def star_rows(documents: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
-    """A bitmap of a power of two of bits, eight times the set's size at least (64 to 131,072)."""
-    bits = 1 << min(17, max(6, int(8 * len(s) - 1).bit_length()))
+    """A bitmap of a power of two of bits, three times the set's size at least (64 to 131,072)."""
+    bits = 1 << min(17, max(6, int(3 * len(s) - 1).bit_length()))
     raw = np.zeros(bits, bool)
     raw[(T.mixed(s ^ _SALT) & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(raw).view(np.uint64)
@@ -354,20 +354,22 @@ def near_duplicates(documents: DataFrame, words: int = 4, percent: int = 85) ->
 
     stars = stored(star_rows(table, words, percent), "stars")
     rep_of = lambda name: reps.select(F.col("doc_id").alias(name), F.col("rep").alias(f"rep_{name}"))
-    met = stars.select("a", "b").distinct().join(rep_of("a"), "a").join(rep_of("b"), "b")
+    star_pairs = stored(stars.select("a", "b").distinct(), "star-pairs")
+    met = star_pairs.join(rep_of("a"), "a").join(rep_of("b"), "b")
     pairs = met.where("rep_a != rep_b").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-    pairs = stored(pairs, "star-pairs")
+    pairs = stored(pairs, "set-pairs")
     size = lambda name: reps.where("doc_id = rep").join(sizes, "doc_id").select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}")).distinct()
     sized = pairs.join(size("a"), "a").join(size("b"), "b")
     close = sized.where(f"100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)").select("a", "b")
     close = stored(close, "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stored(table.join(wanted, "doc_id", "left_semi"), "texts")
+    # neither side has a bound, so the join shuffles at every size
+    texts = stored(table.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
     links = stored(verified(texts, close, words, percent), "links")
 
     comps = components(links.union(copies))
     in_comp = lambda name: comps.select(F.col("node").alias(name), F.col("component").alias(f"comp_{name}"))
-    where = stars.select("a", "b").distinct().join(in_comp("a"), "a", "left").join(in_comp("b"), "b", "left")
+    where = star_pairs.join(in_comp("a"), "a", "left").join(in_comp("b"), "b", "left")
     apart = where.where("coalesce(comp_a, a) != coalesce(comp_b, b)").select("a", "b")
     open_keys = stored(stars.join(apart, ["a", "b"], "left_semi").select("k").distinct(), "open-keys")
     if not open_keys.isEmpty():
