@@ -10,7 +10,8 @@ found by arithmetic and a reader can start anywhere and go on in sequence.
 
 Numbering needs the same rows in the same partitions twice, so both passes run on
 one RDD, whose partitions are planned once; a fingerprint of each partition is held
-against the first pass, and a difference fails the job.  Shards are renamed into
+against the first pass, the sum against a count of the table itself, and a
+difference fails the job.  Shards are renamed into
 place when whole, and the same shard always has the same bytes: lost executors and
 speculative copies do no harm.  A task holds one shard.
 
@@ -96,6 +97,10 @@ def materialise(documents: DataFrame, folder: str, key: int = 1, length: int = L
     for number in sorted(found):
         begin[number] = size
         size += found[number][0]
+    bytes_of = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    expected = documents.agg(F.sum(F.floor(bytes_of / length) + 1)).first()[0] or 0
+    if size != expected:
+        raise RuntimeError(f"{size} sequences were numbered, the table holds {expected}")
     if not size:
         return []
     shards = -(-size // shard_slots)
