@@ -1,16 +1,19 @@
-"""SentencePiece encoding and decoding by a Viterbi search shared between words.
+"""SentencePiece encoding and decoding by a search shared between words.
 
 A text's spaces become marks, and one mark is put in front.  No piece of the
 vocabulary has a mark after another character, so the best segmentation of a text
 is that of its marked words one by one (line ends that no piece contains cut as
 well).  The distinct marked words of a slice of texts, sorted, are a trie walked
-depth-first: a word takes over the forward scores, back pointers and open piece
-prefixes of the characters it shares with the word before it, and only computes
-the rest.  Ties go to the longest last piece.  Characters outside the vocabulary
-become byte pieces, or unknown.
+depth-first: a word takes over the back pointers and open piece prefixes (and
+forward scores) of the characters it shares with the word before it, and only
+computes the rest.  Characters outside the vocabulary become byte pieces, or unknown.
 
-The segmentation is the one of highest total score under the vocabulary's own
-scores (for a vocabulary of merge ranks, not what the merges would give).
+The segmentation is the one that the model defines.  A model of scores (unigram)
+gives that of highest total score, ties to the longest last piece.  A model of
+merges (BPE) joins the best-scored neighbours, leftmost first, until none is left.
+Whether a merge crosses a boundary depends only on the two pieces beside it, so
+pieces are what the merges give if and only if every two neighbours are what
+the merges of those two give; the last piece of each prefix is the one such piece.
 
 Nulls and odd rows: a null or empty text has no ids; texts that hold the mark
 itself decode to spaces; repeated documents give one row each; other columns are
@@ -40,6 +43,9 @@ UNKNOWN_PENALTY = 10.0
 #: Vocabulary files travel to the tasks with the function; larger ones are refused.
 MOST_BYTES = 64 << 20
 
+#: Pairs of neighbours whose merges a task remembers.
+MOST_PAIRS = 1 << 20
+
 
 @dataclass
 class Vocabulary:
@@ -51,6 +57,8 @@ class Vocabulary:
     unknown: int = 0
     byte_ids: list[int] | None = None
     lines: bool = True
+    merges: bool = False
+    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -65,12 +73,16 @@ class Vocabulary:
         rules = model.normalizer_spec
         if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix:
             raise ValueError("only vocabularies without text normalisation are supported")
-        return Vocabulary.of([(p.piece, p.score, p.type) for p in model.pieces])
+        if model.trainer_spec.model_type not in (1, 2):
+            raise ValueError("only unigram and BPE models are supported")
+        return Vocabulary.of([(p.piece, p.score, p.type) for p in model.pieces], model.trainer_spec.model_type == 2)
 
     @staticmethod
-    def of(pieces: list[tuple[str, float, int]]) -> Vocabulary:
+    def of(pieces: list[tuple[str, float, int]], merges: bool = False) -> Vocabulary:
         """From (piece, score, type); types: 1 normal, 2 unknown, 3 control, 4 user-defined, 6 byte."""
-        vocabulary = Vocabulary(strings=[], scores=[p[1] for p in pieces])
+        if merges and any(kind in (4, 5) for _, _, kind in pieces):
+            raise ValueError("merges with user-defined or unused pieces are not supported")
+        vocabulary = Vocabulary(strings=[], scores=[p[1] for p in pieces], merges=merges)
         prefixes, bytes_found = vocabulary.prefixes, {}
         for number, (piece, _, kind) in enumerate(pieces):
             if kind == 6:
@@ -93,6 +105,28 @@ class Vocabulary:
             vocabulary.byte_ids = [bytes_found[b] for b in range(256)]
         return vocabulary
 
+    def merged(self, text: str) -> list[str]:
+        """The pieces that the merges give for a short text."""
+        parts, find, scores = list(text), self.prefixes.get, self.scores
+        while True:
+            top, place = None, -1
+            for i in range(len(parts) - 1):
+                number = find(parts[i] + parts[i + 1], -1)
+                if number >= 0 and (top is None or scores[number] > top):
+                    top, place = scores[number], i
+            if place < 0:
+                return parts
+            parts[place : place + 2] = [parts[place] + parts[place + 1]]
+
+    def neighbours(self, left: str, right: str) -> bool:
+        """Whether the merges leave the boundary between two pieces, and both whole; ``left`` is empty at a word's start."""
+        known = self.pairs.get((left, right))
+        if known is None:
+            if len(self.pairs) >= MOST_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        return known
+
     def units(self, text: str) -> list[str]:
         """The marked words of a text, in order."""
         if not text:
@@ -117,8 +151,53 @@ class Vocabulary:
         return out
 
 
+def by_merges(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
+    """The ids of each word of a sorted list without repeats, as the merges give them."""
+    find, neighbours = vocabulary.prefixes.get, vocabulary.neighbours
+    back, last, open_at = [0], [""], [()]
+    out, previous = [], ""
+    for word in words:
+        shared = 0
+        for x, y in zip(previous, word):
+            if x != y:
+                break
+            shared += 1
+        del back[shared + 1 :], last[shared + 1 :], open_at[shared + 1 :]
+        for end in range(shared + 1, len(word) + 1):
+            came, chosen, still = end - 1, None, []
+            for start in (*open_at[-1], end - 1):
+                piece = word[start:end]
+                number = find(piece)
+                if number is not None:
+                    still.append(start)
+                if chosen is None and (start == end - 1 or (number is not None and number >= 0)) and neighbours(last[start], piece):
+                    came, chosen = start, piece
+            if chosen is None:
+                raise AssertionError("a prefix without a last piece")
+            back.append(came)
+            last.append(chosen)
+            open_at.append(tuple(still))
+        ids: list[int] = []
+        at = len(word)
+        while at:
+            number = find(last[at], -1)
+            if number >= 0:
+                ids.append(number)
+            elif vocabulary.byte_ids:
+                ids.extend(vocabulary.byte_ids[b] for b in reversed(last[at].encode()))
+            elif not ids or ids[-1] != vocabulary.unknown:
+                ids.append(vocabulary.unknown)
+            at = back[at]
+        ids.reverse()
+        out.append(ids)
+        previous = word
+    return out
+
+
 def segment(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
     """The ids of each word of a sorted list without repeats."""
+    if vocabulary.merges:
+        return by_merges(words, vocabulary)
     prefixes, scores = vocabulary.prefixes, vocabulary.scores
     find = prefixes.get
     missing = min((s for p, n in prefixes.items() if n >= 0 for s in (scores[n],)), default=0.0) - UNKNOWN_PENALTY

@@ -48,6 +48,23 @@ def test_matches_the_library(library):
         assert ids[offs[i] : offs[i + 1]].tolist() == library.encode(text), repr(text)
 
 
+def test_ids_are_those_of_the_unmodified_model(vocabulary):
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    processor = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    documents = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").to_pylist()
+    texts = TEXTS + random_texts(300) + [" " * n for n in range(1, 70)] + [t for t in documents if t]
+    ids, offs = sp.encode_texts(texts, vocabulary)
+    for i, text in enumerate(texts):
+        assert ids[offs[i] : offs[i + 1]].tolist() == processor.encode(text), repr(text[:80])
+
+
+def test_merges_are_not_the_best_path():
+    pieces = [("<unk>", 0, 2), ("▁", -9, 1), ("a", -8, 1), ("b", -7, 1), ("c", -6, 1), ("ab", -1, 1), ("bc", -2, 1)]
+    assert sp.segment(["abc", "abcbcé"], sp.Vocabulary.of(pieces, merges=True)) == [[5, 4], [5, 4, 6, 0]]
+
+
 def test_round_trip_and_nulls(spark, vocabulary):
     texts = [t for t in TEXTS + random_texts(50) if "▁" not in t]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(99, None, None), (99, None, None), (None, "a b", "x")], "doc_id long, text string, ids string")
