@@ -5,12 +5,15 @@ bounded size.  Tasks give their files unique names and list them in a manifest
 table; only files of tasks that succeeded are listed, so retried and speculative
 tasks leave nothing behind that a reader would see.
 
-The reader streams each file.  A member or record that fails a check (inflation
-and its checksum, version line, header, length, closing line ends, block and
-payload digest) is not trusted: the reader searches for the next gzip member or
-version line at which a whole valid record begins, goes on from there, and logs
-the bytes between as a quarantined gap with the reason.  Plain and gzipped files
-may be mixed.  A task holds one record in memory.
+The reader streams each file, and the inflated bytes of each gzip member.  A
+record that fails a check (version line, header, length, closing line ends, block
+and payload digest) is not trusted: the reader searches for the next gzip member
+or version line at which a whole valid record begins, goes on from there, and logs
+the bytes between as a quarantined gap with the reason; within a member the search
+is in the inflated bytes, and the gap has their offsets.  A member whose inflation
+or checksum fails keeps the records that their block digest proves, a truncated
+one all that pass; the last record of one that breaks off counts only if bytes
+follow it.  Plain and gzipped files may be mixed.  A task holds one record in memory.
 
 Nulls and odd rows: a null payload is written as an empty one; a null url leaves
 out the target; a null page_id is written as an empty id and read back as null;
@@ -26,6 +29,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -45,6 +49,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _CHUNK = 1 << 18
+_FEED = 1 << 14
+_AT_ONCE = 16 << 20
 _MOST_HEADER = 1 << 20
 
 
@@ -133,6 +139,8 @@ class Damaged(ValueError):
 class _File:
     """Reads of any range of one file, in chunks."""
 
+    begins = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+
     def __init__(self, source, size: int) -> None:
         self.source, self.size, self.at, self.held = source, size, 0, b""
 
@@ -142,6 +150,82 @@ class _File:
             self.at, self.held = at, self.source.read(max(n, _CHUNK))
         return self.held[at - self.at : at - self.at + n]
 
+    def mark(self) -> None:
+        """Reads go on from here, or from later places."""
+
+
+_CUT, _CHECKSUM, _INFLATION = "member beyond the end of the file", "checksum", "inflation"
+
+
+class _Inflated:
+    """The inflated bytes of the gzip member at ``begin``, as far as they go, read like a file.
+
+    A first pass finds their number, the member's end and what failed; reads then
+    inflate again, forward, and backward from the last mark.
+    """
+
+    begins = _VERSION
+
+    def __init__(self, file: _File, begin: int) -> None:
+        self.file, self.begin, self.failure, self.size = file, begin, None, 0
+        self._rewind()
+        while (data := self._more()) is not None:
+            self.size += len(data)
+        self.end = self.place
+        self._rewind()
+
+    def _rewind(self) -> None:
+        self.at, self.held, self.pack, self.place, self.over, self.marked = 0, bytearray(), zlib.decompressobj(31), self.begin, False, None
+
+    def _more(self) -> bytes | None:
+        """The next inflated bytes; none after the member's end or a failure."""
+        if self.over:
+            return None
+        data = self.file.read(self.place, min(_FEED, self.file.size - self.place))
+        if not data:
+            self.failure, self.over = _CUT, True
+            return None
+        before = self.pack.copy()
+        try:
+            out = self.pack.decompress(data)
+        except zlib.error as error:
+            out, self.over = bytearray(), True
+            self.failure = _CHECKSUM if re.search("incorrect (data|length) check", str(error)) else _INFLATION
+            try:
+                for i in range(len(data)):
+                    out += before.decompress(data[i : i + 1])
+            except zlib.error:
+                pass
+            return bytes(out)
+        self.place += len(data) - len(self.pack.unused_data)
+        self.over = self.pack.eof
+        return out
+
+    def mark(self) -> None:
+        self.marked = (self.at, bytes(self.held), None if self.over else self.pack.copy(), self.place, self.over)
+
+    def read(self, at: int, n: int) -> bytes:
+        if at < self.at:
+            if self.marked and self.marked[0] <= at:
+                self.at, held, pack, self.place, self.over = self.marked
+                self.held, self.pack = bytearray(held), pack and pack.copy()
+            else:
+                self._rewind()
+        while True:
+            drop = min(at - self.at, len(self.held))
+            del self.held[:drop]
+            self.at += drop
+            if at + n <= self.at + len(self.held) or (data := self._more()) is None:
+                return bytes(self.held[at - self.at : at - self.at + n])
+            self.held += data
+
+    def trust(self, record: dict, end: int) -> None:
+        """Fails for a record that a damaged member does not prove."""
+        if self.failure in (_CUT, _INFLATION) and end == self.size:
+            raise Damaged(self.failure)
+        if self.failure in (_CHECKSUM, _INFLATION) and not record["proven"]:
+            raise Damaged(f"{self.failure}, and no block digest")
+
 
 def _head(data: bytes) -> tuple[dict[str, str], int]:
     """Header fields (lower-case names) and the block's place in a record's bytes."""
@@ -182,62 +266,81 @@ def _checked(fields: dict[str, str], block: bytes) -> dict:
         digest, told = actual, len(payload)
     elif digest.startswith("sha1:") and not re.fullmatch("sha1:[A-Z2-7]{32}", digest):
         raise Damaged("payload digest")
-    return {"type": kind, "fields": fields, "payload": None if kind == "revisit" else payload, "bytes": told, "digest": digest}
+    proven = stated.startswith("sha1:")
+    return {"proven": proven, "type": kind, "fields": fields, "payload": None if kind == "revisit" else payload, "bytes": told, "digest": digest}
 
 
-def _plain(file: _File, at: int) -> tuple[list[dict], int]:
-    """The record at ``at`` of an uncompressed file, and where it ends."""
-    n = _CHUNK
+def _plain(file: _File | _Inflated, at: int) -> tuple[dict, int]:
+    """The record at ``at`` of uncompressed bytes, and where it ends."""
+    n = 1 << 13
     while b"\r\n\r\n" not in (data := file.read(at, min(n, file.size - at))) and n < min(_MOST_HEADER, file.size - at):
         n *= 4
     fields, begin = _head(data)
     end = at + begin + int(fields["content-length"])
     if end + 4 > file.size:
         raise Damaged("record beyond the end of the file")
+    if end + 4 - at <= _AT_ONCE:
+        file.read(at, end + 4 - at)
     if file.read(end, 4) != b"\r\n\r\n":
         raise Damaged("no line ends after the block")
-    return [_checked(fields, file.read(at + begin, end - at - begin))], end + 4
-
-
-def _member(file: _File, at: int) -> tuple[list[dict], int]:
-    """The records of the gzip member at ``at``, and where it ends."""
-    pack, parts, end = zlib.decompressobj(31), [], at
-    try:
-        while not pack.eof:
-            if end >= file.size:
-                raise Damaged("member beyond the end of the file")
-            data = file.read(end, min(_CHUNK, file.size - end))
-            parts.append(pack.decompress(data))
-            if end == at and len(parts[0]) >= 10 and not _VERSION.match(parts[0]):
-                raise Damaged("no version line")
-            end += len(data) - len(pack.unused_data)
-    except zlib.error as error:
-        raise Damaged("inflation") from error
-    raw, place, found = b"".join(parts), 0, []
-    while place < len(raw):
-        fields, begin = _head(raw[place:] if place else raw)
-        stop = place + begin + int(fields["content-length"])
-        if raw[stop : stop + 4] != b"\r\n\r\n":
-            raise Damaged("no line ends after the block")
-        found.append(_checked(fields, raw[place + begin : stop]))
-        place = stop + 4
-    if not found:
-        raise Damaged("empty member")
+    return _checked(fields, file.read(at + begin, end - at - begin)), end + 4
+
+
+def _inside(inner: _Inflated) -> Iterator[dict]:
+    """Records and gaps of a member, with their places in its inflated bytes."""
+    at, told = 0, inner.failure is None
+    while at < inner.size:
+        inner.read(at, 1)
+        inner.mark()
+        try:
+            found, end = _record_at(inner, at)
+        except Damaged as damage:
+            end, reason = _next_valid(inner, at + 1), str(damage)
+            if end == inner.size and inner.failure:
+                told, reason = True, inner.failure
+            yield {"kind": "gap", "inflated_start": at, "inflated_end": end, "reason": reason}
+        else:
+            yield {"kind": "record", "inflated_start": at, "inflated_end": end} | found
+        at = end
+    if not told:
+        yield {"kind": "gap", "inflated_start": at, "inflated_end": at, "reason": inner.failure}
+
+
+def _member(file: _File, at: int) -> tuple[_Inflated, Iterator[dict]]:
+    """The gzip member at ``at`` and what is in it; fails if no record is."""
+    inner = _Inflated(file, at)
+    items, lead = _inside(inner), []
+    for x in items:
+        lead.append(x)
+        if x["kind"] == "record":
+            return inner, chain(lead, items)
+    raise Damaged(inner.failure or (lead[0]["reason"] if lead else "empty member"))
+
+
+def _record_at(inner: _Inflated, at: int) -> tuple[dict, int]:
+    found, end = _plain(inner, at)
+    inner.trust(found, end)
     return found, end
 
 
-def _record_at(file: _File, at: int) -> tuple[list[dict], int]:
-    return (_member if file.read(at, 3) == _MAGIC else _plain)(file, at)
+def _check_at(file: _File | _Inflated, at: int) -> None:
+    """Fails if no valid record begins at ``at``, or in the member there."""
+    if isinstance(file, _Inflated):
+        _record_at(file, at)
+    elif file.read(at, 3) == _MAGIC:
+        _member(file, at)
+    else:
+        _plain(file, at)
 
 
-def _next_valid(file: _File, at: int) -> int:
-    """The first place from ``at`` on where a member or version line begins a valid record, or the file's end."""
-    mark = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+def _next_valid(file: _File | _Inflated, at: int) -> int:
+    """The first place from ``at`` on where a member or version line begins a valid record, or the bytes' end."""
     while at < file.size:
         data = file.read(at, min(_CHUNK, file.size - at))
-        for m in mark.finditer(data):
+        file.mark()
+        for m in file.begins.finditer(data):
             try:
-                _record_at(file, at + m.start())
+                _check_at(file, at + m.start())
             except Damaged:
                 continue
             return at + m.start()
@@ -248,23 +351,31 @@ def _next_valid(file: _File, at: int) -> int:
 
 
 def salvaged(source, size: int) -> Iterator[dict]:
-    """Records and gaps of a seekable file, in order; each has kind, start and end."""
+    """Records and gaps of a seekable file, in order; each has kind, start and end.
+
+    Those of a gzip member have its start and end (if it is damaged, up to where
+    the reader goes on) and their places in its inflated bytes.
+    """
     file, at = _File(source, size), 0
     while at < size:
         try:
-            found, end = _record_at(file, at)
+            if file.read(at, 3) == _MAGIC:
+                inner, items = _member(file, at)
+                end = _next_valid(file, at + 1) if inner.failure else inner.end
+            else:
+                found, end = _plain(file, at)
+                items = [{"kind": "record"} | found]
         except Damaged as damage:
             end = _next_valid(file, at + 1)
-            yield {"kind": "gap", "start": at, "end": end, "reason": str(damage)}
-        else:
-            for x in found:
-                yield {"kind": "record", "start": at, "end": end} | x
+            items = [{"kind": "gap", "reason": str(damage)}]
+        for x in items:
+            yield {"start": at, "end": end} | x
         at = end
 
 
 SCHEMA = (
     "path string, kind string, start long, end long, reason string, record_type string, record_id string, target string, "
-    "refers_to string, payload_bytes long, payload_digest string, payload binary"
+    "refers_to string, payload_bytes long, payload_digest string, payload binary, inflated_start long, inflated_end long"
 )
 _ARROW = pa.schema(
     [(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in SCHEMA.split(", "))]
@@ -290,6 +401,7 @@ def read(spark: SparkSession, paths: DataFrame, payloads: bool = True) -> DataFr
                                 "record_type": x.get("type"), "record_id": fields.get("warc-record-id"), "target": fields.get("warc-target-uri"),
                                 "refers_to": fields.get("warc-refers-to"), "payload_bytes": x.get("bytes"),
                                 "payload_digest": base64.b32decode(digest).hex() if digest else None, "payload": body,
+                                "inflated_start": x.get("inflated_start"), "inflated_end": x.get("inflated_end"),
                             }
                         )
                         size += len(body or b"") + 500

@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 import io
+import random
+import tracemalloc
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,6 +57,51 @@ def test_wrong_length_does_not_swallow_the_next_record():
     assert ids(parse(long + b)) == ["<urn:page:2>"]
 
 
+def test_damage_inside_a_member_of_many_records():
+    records = [raw(i, bytes([65 + i]) * 300) for i in range(8)]
+    start = sum(map(len, records[:3]))
+    whole = b"".join(records)
+    for damaged in (
+        whole[: start + 200] + b"?" + whole[start + 201 :],
+        whole[:start] + records[3].replace(b"Content-Length: ", b"Content-Length: 9", 1) + whole[start + len(records[3]) :],
+        whole[:start] + b"XARC" + whole[start + 4 :],
+    ):
+        found = parse(gzip.compress(damaged) + gzip.compress(raw(9, b"later")))
+        assert ids(found) == [f"<urn:page:{i}>" for i in (0, 1, 2, 4, 5, 6, 7, 9)]
+        (gap,) = [x for x in found if x["kind"] == "gap"]
+        after = len(damaged) - len(whole) + start + len(records[3])
+        assert (gap["inflated_start"], gap["inflated_end"]) == (start, after)
+
+
+def test_records_before_a_cut_or_an_inflation_error_are_kept():
+    noise = random.Random(3)
+    records = [raw(i, noise.randbytes(20_000)) for i in range(12)]
+    packed, later = gzip.compress(b"".join(records)), gzip.compress(raw(99, b"later"))
+    for at in (7, 10):
+        cut = parse(packed[: len(packed) * at // 12])
+        assert ids(cut) == [f"<urn:page:{i}>" for i in range(len(ids(cut)))] and at - 1 <= len(ids(cut)) <= at
+        assert cut[-1]["kind"] == "gap" and cut[-1]["reason"] == "member beyond the end of the file"
+    wrong = bytearray(packed)
+    wrong[-6] ^= 1
+    assert ids(parse(bytes(wrong) + later)) == [f"<urn:page:{i}>" for i in (*range(12), 99)]
+    text = [raw(i, b" ".join(b"%d" % noise.randrange(10**9) for _ in range(2000))) for i in range(12)]
+    packed = bytearray(gzip.compress(b"".join(text)))
+    half = len(packed) // 2
+    packed[half : half + 300] = b"\xff" * 300
+    found = ids(parse(bytes(packed) + later))
+    assert found[:5] == [f"<urn:page:{i}>" for i in range(5)] and found[-1] == "<urn:page:99>"
+
+
+def test_a_large_member_is_read_in_bounded_memory():
+    body = b"z" * (1 << 20)
+    data = gzip.compress(b"".join(raw(i, body) for i in range(64)), 1)
+    tracemalloc.start()
+    assert sum(x["kind"] == "record" for x in warc.salvaged(io.BytesIO(data), len(data))) == 64
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32 << 20
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=400), min_size=1, max_size=6), st.integers(0, 10**6), st.binary(min_size=1, max_size=30), st.booleans())
 def test_bytes_are_records_or_gaps(payloads, place, noise, zipped):
