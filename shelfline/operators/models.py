@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from shelfline.fixed import FEATURES, FOREST_TREES, PRIMARY_MODELS, RIDGE_ALPHA, SEED, SERIES
 from shelfline.operators.encode import encode, fit_encoder, scaler_state, standardise
 from shelfline.operators.forecast import configuration_grid
-from shelfline.session import scratch_path, shared_dir
+from shelfline.session import scratch_path, shared_dir, stored
 
 #: Solver of ridge, the same at every size.  "normal" is exact and takes up to 4,096
 #: columns (Spark raises beyond them); "l-bfgs" is iterative and takes any number.
@@ -94,6 +94,43 @@ def estimator(
     raise ValueError(f"{model} is not a fitted model")
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """The encoded rows of one fold and horizon, and what fits on them need."""
+
+    encoder: PipelineModel
+    state: DataFrame | None
+    table: DataFrame
+    spread: float
+    rows: int
+
+
+def prepare(training: DataFrame, scaled: bool, keep: bool = False) -> Prepared:
+    """Encode (for ridge also scale) the rows of one fold and horizon; ``keep`` stores them."""
+    encoder = fit_encoder(training)
+    state = scaler_state(training) if scaled else None
+    table = encode(standardise(training, state) if scaled else training, encoder).select("features", "target")
+    facts = training.agg(
+        F.stddev_pop("target").alias("spread"), F.count(F.lit(1)).alias("n")
+    ).first()
+    return Prepared(encoder, state, stored(table, "encoded") if keep else table, facts["spread"] or 1.0, facts["n"])
+
+
+def learn(
+    prepared: Prepared,
+    model: str,
+    configuration_id: str,
+    forest_trees: int = FOREST_TREES,
+    solver: str = SOLVER,
+) -> Fitted:
+    """Fit one candidate on prepared rows."""
+    spark = prepared.table.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    learner = estimator(model, configuration_id, prepared.spread, prepared.rows, forest_trees, solver)
+    return Fitted(model, configuration_id, prepared.encoder, learner.fit(prepared.table), prepared.state)
+
+
 def fit(
     training: DataFrame,
     model: str,
@@ -105,20 +142,7 @@ def fit(
 
     ``training`` should be a stored table: fitting scans it many times.
     """
-    spark = training.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    encoder = fit_encoder(training)
-    state = scaler_state(training) if model == "ridge" else None
-    scaled = standardise(training, state) if state is not None else training
-    facts = training.agg(
-        F.stddev_pop("target").alias("spread"), F.count(F.lit(1)).alias("n")
-    ).first()
-    learner = estimator(
-        model, configuration_id, facts["spread"] or 1.0, facts["n"], forest_trees, solver
-    )
-    fitted = learner.fit(encode(scaled, encoder).select("features", "target"))
-    return Fitted(model, configuration_id, encoder, fitted, state)
+    return learn(prepare(training, model == "ridge"), model, configuration_id, forest_trees, solver)
 
 
 def fit_candidates(
@@ -130,17 +154,22 @@ def fit_candidates(
 ) -> DataFrame:
     """Fit (model, horizon, configuration, fold) candidates and score origins.
 
+    Each fold and horizon is encoded and stored once, for all its candidates.
     Returns fold_id, series, horizon, model, configuration_id, prediction.  A
     candidate that yields a missing or nonfinite prediction raises.
     """
     spark = training.sparkSession
     path = scratch_path(spark, "candidate-predictions")
+    candidates = list(candidates)
+
+    def ready(key: tuple[int, int, bool]) -> Prepared:
+        horizon, fold, scaled = key
+        return prepare(training.where((F.col("fold_id") == fold) & (F.col("horizon") == horizon)), scaled, keep=True)
 
     def run(candidate: tuple[str, int, str, int]) -> None:
         model, horizon, configuration, fold = candidate
-        rows = training.where((F.col("fold_id") == fold) & (F.col("horizon") == horizon))
         points = origins.where(F.col("fold_id") == fold).withColumn("horizon", F.lit(horizon))
-        fitted = fit(rows, model, configuration, forest_trees)
+        fitted = learn(tables[horizon, fold, model == "ridge"], model, configuration, forest_trees)
         (
             fitted.predict(points)
             .select(
@@ -156,6 +185,8 @@ def fit_candidates(
         )
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        keys = list(dict.fromkeys((h, f, m == "ridge") for m, h, _, f in candidates))
+        tables = dict(zip(keys, pool.map(ready, keys), strict=True))
         list(pool.map(run, candidates))
     out = spark.read.option("recursiveFileLookup", True).parquet(path)
     bad = F.col("prediction").isNull() | F.isnan("prediction") | (

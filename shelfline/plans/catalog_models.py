@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from shelfline.fixed import FEATURES, SERIES
+from shelfline.fixed import FEATURES, PRIMARY_MODELS, PRODUCERS, SERIES
 from shelfline.operators import encode as en
 from shelfline.operators import features as fe
 from shelfline.operators import folds as fo
@@ -151,6 +151,10 @@ def _fitted_scores(spark, sf_dir, candidates, folds, **options):
     return me.score(rows, [*me.SUMMARY_KEYS, "fold_id"])
 
 
+def _planned(*models):
+    return [candidate[1:] for candidate in fc.candidate_plan(models)]
+
+
 @query("ridge", "M8 M11")
 def ridge(spark, sf_dir):
     """Ridge over the four folds and all horizons, scored at each origin."""
@@ -160,24 +164,25 @@ def ridge(spark, sf_dir):
 
 @query("random_forest", "M9 M11")
 def random_forest(spark, sf_dir):
-    """All rows, fewer trees than the library default of 300 (a parameter)."""
-    plan = [("random_forest", 7, "fixed", 1)]
-    return _fitted_scores(spark, sf_dir, plan, FOLDS[:1], forest_trees=10)
+    """Forests of the library's 300 trees over the four folds and all horizons."""
+    return _fitted_scores(spark, sf_dir, _planned("random_forest"), FOLDS[:4])
 
 
-@query("boosted_trees", "M10 M11")  # one of the 24 configurations
+@query("boosted_trees", "M10 M11")
 def boosted_trees(spark, sf_dir):
-    return _fitted_scores(spark, sf_dir, [("xgboost", 7, "GBM001", 1)], FOLDS[:1])
+    """The whole grid of the three boosting models over the four folds and all horizons."""
+    return _fitted_scores(spark, sf_dir, _planned(*PRIMARY_MODELS), FOLDS[:4])
 
 
 @query("final_refit", "M12 S18")
 def final_refit(spark, sf_dir):
-    """Refit on all history, store predictions, only then read outcomes."""
+    """Refit ridge and the designated producers on all history, store predictions, only then read outcomes."""
     folds = FOLDS[4:]
     history = published_demand(spark, sf_dir).where(F.col("Date") <= F.lit(folds[0].end))
     training = stored(fo.training_rows(fe.features_and_targets(history), folds), "training")
     origins = stored(fe.origin_features(history, folds), "origins")
-    sealed = mo.fit_candidates(training, origins, [("ridge", h, "fixed", 5) for h in (1, 7, 14, 28)])
+    plan = [("ridge", h, "fixed", 5) for h in (1, 7, 14, 28)] + [(m, h, c, 5) for h, m, c in PRODUCERS]
+    sealed = mo.fit_candidates(training, origins, plan)
     outcomes = published_demand(spark, sf_dir).where(F.col("Date") > F.lit(folds[0].end))
     observed = fo.observed_targets(
         fe.build_targets(outcomes, folds[0].end, folds[0].outcome_end), folds
