@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import decontaminate, jaccard_join, langid, license_scan, quality, sentencepiece, topk, toxicity, training_order, warc
+from shelfline.llm import decontaminate, jaccard_join, langid, license_scan, merkle, quality, sentencepiece, topk, toxicity, training_order, warc
 
 #: Vocabulary file of the encoding queries; read where the query is made.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -172,6 +172,66 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(cov.n_hit, 0
 FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 """
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = merkle.build(table(spark, sf_dir, "documents"), merkle.tampered_leaf())
+    return merkle.report(merkle.proofs(manifest))
+
+
+#: CRC-32 of a short ASCII text, bit by bit: -1 stands for a shift.
+_CRC32 = (
+    "xor(list_reduce(flatten(list_transform(string_split({0}, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])), "
+    "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, 4294967295), 4294967295)"
+)
+
+
+def _op11_sql(heights: int = 5, top_heights: int = 3) -> str:
+    """Levels as tables: a tree of one node stays as it is from level to level."""
+    fields = lambda text: " || ".join(
+        f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+        for c in ("doc_id", "source", "lang", "n_chars", text)
+    )
+    lower = f"translate(text, '{merkle._UPPER}', '{merkle._LOWER}')"
+    parts = [
+        f"""h AS (
+  SELECT doc_id, source, sha256({fields('text')}) AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC32.format('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN sha256({fields(lower)}) ELSE sha256({fields('text')}) END AS shown
+  FROM documents
+),
+leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, leaf, shown, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+  FROM h
+),
+s0 AS (SELECT tree, i, n, leaf AS d FROM leaves),
+c0 AS (SELECT r, tree, i, shown AS f, '' AS proof FROM leaves)"""
+    ]
+
+    def levels(table: str, climb: str, count: int) -> None:
+        for k in range(count):
+            parts.append(
+                f"""{table}{k}r AS (SELECT tree, i // 16 AS up, any_value(n) AS n, list(d ORDER BY i) AS ch FROM {table}{k} GROUP BY ALL),
+{table}{k + 1} AS (SELECT tree, up AS i, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(ch, '')) ELSE ch[1] END AS d FROM {table}{k}r),
+{climb}{k + 1} AS (
+  SELECT r, tree, i // 16 AS i, CASE WHEN n > 1 THEN sha256(b || f || e) ELSE f END AS f, CASE WHEN n > 1 THEN proof || b || e ELSE proof END AS proof
+  FROM (
+    SELECT r, c.tree, i, f, proof, n, array_to_string(ch[1:i % 16], '') AS b, array_to_string(ch[i % 16 + 2:], '') AS e
+    FROM {climb}{k} c JOIN {table}{k}r t ON t.tree = c.tree AND t.up = c.i // 16
+  )
+)"""
+            )
+
+    levels("s", "c", heights)
+    parts.append(f"u0 AS (SELECT -1 AS tree, tree AS i, count(*) OVER () AS n, d FROM s{heights})")
+    parts.append(f"k0 AS (SELECT r, -1 AS tree, tree AS i, f, proof FROM c{heights})")
+    levels("u", "k", top_heights)
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT l.doc_id, l.leaf, s.d AS subroot, u.d AS root, sha256(k.proof) AS proof_sha256, k.f AS folded_root, k.f = u.d AS verified
+FROM leaves l JOIN s{heights} s ON s.tree = l.tree JOIN k{top_heights} k ON k.r = l.r CROSS JOIN u{top_heights} u
+"""
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -183,6 +243,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE = {
@@ -190,4 +251,5 @@ ORACLE = {
     "op3_license_scan": _op3_sql(),
     "op5_exact_top_k": OP5_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
+    "op11_merkle_manifest": _op11_sql(),
 }
