@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import decontaminate, jaccard_join, langid, license_scan, merkle, quality, sentencepiece, topk, toxicity, training_order, warc
+from shelfline.llm import decontaminate, jaccard_join, langid, license_scan, merkle, quality, ring, sentencepiece, topk, toxicity, training_order, warc
 
 #: Vocabulary file of the encoding queries; read where the query is made.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -232,6 +232,11 @@ FROM leaves l JOIN s{heights} s ON s.tree = l.tree JOIN k{top_heights} k ON k.r
     )
 
 
+def op12_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring.shard_documents(table(spark, sf_dir, "documents"), 8)
+    return placed.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -244,6 +249,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_ring_shards": op12_ring_shards,
 }
 
 ORACLE = {
