@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import decontaminate, jaccard_join, langid, license_scan, merkle, quality, ring, sentencepiece, topk, toxicity, training_order, warc
+from shelfline.llm import decontaminate, jaccard_join, langid, license_scan, merkle, quality, ring, sentencepiece, topk, toxicity, training_order, warc, whitening
 
 #: Vocabulary file of the encoding queries; read where the query is made.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -237,6 +237,10 @@ def op12_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -250,6 +254,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_ring_shards": op12_ring_shards,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE = {
