@@ -1,10 +1,9 @@
-"""Model fitting as distributed Spark ML jobs over stored training tables.
+"""Model fitting as Spark jobs over stored training tables.
 
-The driver loops only over the (small) candidate plan.  Every fit is a Spark
-job, every candidate's predictions are written to the shared folder and the
-evidence is read back as one table, so nothing is collected and a lost executor
-costs only running tasks.  The three boosting libraries of the plan map to one
-Spark-native boosting family with the same grid.
+Tree models (a forest and three boosting families) of a whole plan are one grouped job
+over bounded blocks of rows (``ensembles``).  Ridge is fitted per fold and horizon with
+Spark ML.  Predictions are written to the shared folder and read back as one table,
+so nothing is collected and a lost executor costs only running tasks.
 """
 
 from __future__ import annotations
@@ -14,20 +13,18 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.fixed import FEATURES, FOREST_TREES, PRIMARY_MODELS, RIDGE_ALPHA, SEED, SERIES
-from shelfline.operators.encode import encode, fit_encoder, scaler_state, standardise
-from shelfline.operators.forecast import configuration_grid
+from shelfline.operators.encode import encode, fit_encoder, scaler_state, standardise, vocabularies
+from shelfline.operators.ensembles import fit_trees, score_trees
 from shelfline.session import scratch_path, shared_dir, stored
 
 #: Solver of ridge, the same at every size.  "normal" is exact and takes up to 4,096
 #: columns (Spark raises beyond them); "l-bfgs" is iterative and takes any number.
 SOLVER = "normal"
-MAX_TREE_DEPTH = 30  # hard limit of Spark's tree ensembles
-MAX_BINS = 256
 
 
 @dataclass(frozen=True)
@@ -48,50 +45,17 @@ class Fitted:
         )
 
 
-def estimator(
-    model: str,
-    configuration_id: str,
-    label_spread: float,
-    rows: int,
-    forest_trees: int = FOREST_TREES,
-    solver: str = SOLVER,
-    tree_depth: int = MAX_TREE_DEPTH,
-    bins: int = MAX_BINS,
-):
-    if model == "ridge":
-        # Spark rescales the label; this penalty reproduces alpha on raw labels
-        return LinearRegression(
-            labelCol="target",
-            elasticNetParam=0.0,
-            standardization=False,
-            solver=solver,
-            regParam=RIDGE_ALPHA * label_spread / rows,
-        )
-    if model == "random_forest":
-        return RandomForestRegressor(
-            labelCol="target",
-            numTrees=forest_trees,
-            maxDepth=tree_depth,
-            maxBins=bins,
-            featureSubsetStrategy="all",
-            cacheNodeIds=True,
-            maxMemoryInMB=1024,
-            seed=SEED,
-        )
-    if model in PRIMARY_MODELS:
-        grid = {row[0]: row[1:] for row in configuration_grid()}
-        rate, iterations, depth, subsample = grid[configuration_id]
-        return GBTRegressor(
-            labelCol="target",
-            stepSize=rate,
-            maxIter=iterations,
-            maxDepth=depth,
-            maxBins=bins,
-            subsamplingRate=subsample,
-            cacheNodeIds=True,
-            seed=SEED,
-        )
-    raise ValueError(f"{model} is not a fitted model")
+def estimator(model: str, label_spread: float, rows: int, solver: str = SOLVER) -> LinearRegression:
+    if model != "ridge":
+        raise ValueError(f"{model} is not a linear model")
+    # Spark rescales the label; this penalty reproduces alpha on raw labels
+    return LinearRegression(
+        labelCol="target",
+        elasticNetParam=0.0,
+        standardization=False,
+        solver=solver,
+        regParam=RIDGE_ALPHA * label_spread / rows,
+    )
 
 
 @dataclass(frozen=True)
@@ -116,33 +80,31 @@ def prepare(training: DataFrame, scaled: bool, keep: bool = False) -> Prepared:
     return Prepared(encoder, state, stored(table, "encoded") if keep else table, facts["spread"] or 1.0, facts["n"])
 
 
-def learn(
-    prepared: Prepared,
-    model: str,
-    configuration_id: str,
-    forest_trees: int = FOREST_TREES,
-    solver: str = SOLVER,
-) -> Fitted:
-    """Fit one candidate on prepared rows."""
+def learn(prepared: Prepared, model: str, configuration_id: str, solver: str = SOLVER) -> Fitted:
+    """Fit one linear candidate on prepared rows."""
     spark = prepared.table.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    learner = estimator(model, configuration_id, prepared.spread, prepared.rows, forest_trees, solver)
+    learner = estimator(model, prepared.spread, prepared.rows, solver)
     return Fitted(model, configuration_id, prepared.encoder, learner.fit(prepared.table), prepared.state)
 
 
-def fit(
-    training: DataFrame,
-    model: str,
-    configuration_id: str,
-    forest_trees: int = FOREST_TREES,
-    solver: str = SOLVER,
-) -> Fitted:
-    """Fit one candidate on the rows of one fold and horizon.
+def fit(training: DataFrame, model: str, configuration_id: str, solver: str = SOLVER) -> Fitted:
+    """Fit one linear candidate on the rows of one fold and horizon.
 
     ``training`` should be a stored table: fitting scans it many times.
     """
-    return learn(prepare(training, model == "ridge"), model, configuration_id, forest_trees, solver)
+    return learn(prepare(training, model == "ridge"), model, configuration_id, solver)
+
+
+def refuse_unseen_levels(training: DataFrame, origins: DataFrame) -> None:
+    """Raises if an origin has a category level that its fold's training rows do not have."""
+    known = vocabularies(training).select("fold_id", "column", "level").distinct()
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("level")) for c in SERIES])
+    asked = origins.select("fold_id", F.explode(entries).alias("e")).select("fold_id", "e.*").distinct()
+    first = asked.join(known, ["fold_id", "column", "level"], "left_anti").first()
+    if first is not None:
+        raise ValueError(f"unseen level {first['column']} {first['level']} in fold {first['fold_id']}")
 
 
 def fit_candidates(
@@ -154,40 +116,30 @@ def fit_candidates(
 ) -> DataFrame:
     """Fit (model, horizon, configuration, fold) candidates and score origins.
 
-    Each fold and horizon is encoded and stored once, for all its candidates.
     Returns fold_id, series, horizon, model, configuration_id, prediction.  A
     candidate that yields a missing or nonfinite prediction raises.
     """
     spark = training.sparkSession
     path = scratch_path(spark, "candidate-predictions")
     candidates = list(candidates)
-
-    def ready(key: tuple[int, int, bool]) -> Prepared:
-        horizon, fold, scaled = key
-        return prepare(training.where((F.col("fold_id") == fold) & (F.col("horizon") == horizon)), scaled, keep=True)
+    names = ["fold_id", *SERIES, "horizon", "model", "configuration_id", "prediction"]
+    trees = [c for c in candidates if c[0] != "ridge"]
+    linear = [c for c in candidates if c[0] == "ridge"]
+    if trees:
+        refuse_unseen_levels(training, origins)
+        models = fit_trees(training, trees, forest_trees)
+        score_trees(models, origins).select(*names).write.mode("errorifexists").parquet(f"{path}/trees")
 
     def run(candidate: tuple[str, int, str, int]) -> None:
         model, horizon, configuration, fold = candidate
         points = origins.where(F.col("fold_id") == fold).withColumn("horizon", F.lit(horizon))
-        fitted = learn(tables[horizon, fold, model == "ridge"], model, configuration, forest_trees)
-        (
-            fitted.predict(points)
-            .select(
-                "fold_id",
-                *SERIES,
-                "horizon",
-                F.lit(model).alias("model"),
-                F.lit(configuration).alias("configuration_id"),
-                "prediction",
-            )
-            .write.mode("errorifexists")
-            .parquet(f"{path}/{model}-{configuration}-h{horizon}-f{fold}")
-        )
+        rows = training.where((F.col("fold_id") == fold) & (F.col("horizon") == horizon))
+        fitted = learn(prepare(rows, True, keep=True), model, configuration)
+        scored = fitted.predict(points).withColumns({"model": F.lit(model), "configuration_id": F.lit(configuration)})
+        scored.select(*names).write.mode("errorifexists").parquet(f"{path}/{model}-{configuration}-h{horizon}-f{fold}")
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        keys = list(dict.fromkeys((h, f, m == "ridge") for m, h, _, f in candidates))
-        tables = dict(zip(keys, pool.map(ready, keys), strict=True))
-        list(pool.map(run, candidates))
+        list(pool.map(run, linear))
     out = spark.read.option("recursiveFileLookup", True).parquet(path)
     bad = F.col("prediction").isNull() | F.isnan("prediction") | (
         F.abs("prediction") == float("inf")
