@@ -1,15 +1,15 @@
 """Model fitting as Spark jobs over stored training tables.
 
 Tree models (a forest and three boosting families) of a whole plan are one grouped job
-over bounded blocks of rows (``ensembles``).  Ridge is fitted per fold and horizon with
-Spark ML.  Predictions are written to the shared folder and read back as one table,
+over bounded blocks of rows (``ensembles``); ridge of a whole plan is one set of sums
+(``ridge``).  ``fit`` gives a single ridge model as a Spark ML pipeline, for serving and
+replay.  Predictions are written to the shared folder and read back as one table,
 so nothing is collected and a lost executor costs only running tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from shelfline.fixed import FEATURES, FOREST_TREES, PRIMARY_MODELS, RIDGE_ALPHA, SEED, SERIES
 from shelfline.operators.encode import encode, fit_encoder, scaler_state, standardise, vocabularies
 from shelfline.operators.ensembles import fit_trees, score_trees
+from shelfline.operators.ridge import fit_ridge, score_ridge
 from shelfline.session import scratch_path, shared_dir, stored
 
 #: Solver of ridge, the same at every size.  "normal" is exact and takes up to 4,096
@@ -45,7 +46,7 @@ class Fitted:
         )
 
 
-def estimator(model: str, label_spread: float, rows: int, solver: str = SOLVER) -> LinearRegression:
+def estimator(model: str, configuration_id: str, label_spread: float, rows: int, solver: str = SOLVER) -> LinearRegression:
     if model != "ridge":
         raise ValueError(f"{model} is not a linear model")
     # Spark rescales the label; this penalty reproduces alpha on raw labels
@@ -85,7 +86,7 @@ def learn(prepared: Prepared, model: str, configuration_id: str, solver: str = S
     spark = prepared.table.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    learner = estimator(model, prepared.spread, prepared.rows, solver)
+    learner = estimator(model, configuration_id, prepared.spread, prepared.rows, solver)
     return Fitted(model, configuration_id, prepared.encoder, learner.fit(prepared.table), prepared.state)
 
 
@@ -111,7 +112,6 @@ def fit_candidates(
     training: DataFrame,
     origins: DataFrame,
     candidates: Iterable[tuple[str, int, str, int]],
-    parallelism: int = 4,
     forest_trees: int = FOREST_TREES,
 ) -> DataFrame:
     """Fit (model, horizon, configuration, fold) candidates and score origins.
@@ -125,21 +125,15 @@ def fit_candidates(
     names = ["fold_id", *SERIES, "horizon", "model", "configuration_id", "prediction"]
     trees = [c for c in candidates if c[0] != "ridge"]
     linear = [c for c in candidates if c[0] == "ridge"]
+    refuse_unseen_levels(training, origins)
     if trees:
-        refuse_unseen_levels(training, origins)
         models = fit_trees(training, trees, forest_trees)
         score_trees(models, origins).select(*names).write.mode("errorifexists").parquet(f"{path}/trees")
 
-    def run(candidate: tuple[str, int, str, int]) -> None:
-        model, horizon, configuration, fold = candidate
-        points = origins.where(F.col("fold_id") == fold).withColumn("horizon", F.lit(horizon))
-        rows = training.where((F.col("fold_id") == fold) & (F.col("horizon") == horizon))
-        fitted = learn(prepare(rows, True, keep=True), model, configuration)
-        scored = fitted.predict(points).withColumns({"model": F.lit(model), "configuration_id": F.lit(configuration)})
-        scored.select(*names).write.mode("errorifexists").parquet(f"{path}/{model}-{configuration}-h{horizon}-f{fold}")
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        list(pool.map(run, linear))
+    if linear:
+        asked = F.struct("fold_id", "horizon").isin([F.struct(F.lit(f), F.lit(h)) for _, h, _, f in linear])
+        scored = score_ridge(fit_ridge(training.where(asked)), origins)
+        scored.withColumns({"model": F.lit("ridge"), "configuration_id": F.lit(linear[0][2])}).select(*names).write.mode("errorifexists").parquet(f"{path}/ridge")
     out = spark.read.option("recursiveFileLookup", True).parquet(path)
     bad = F.col("prediction").isNull() | F.isnan("prediction") | (
         F.abs("prediction") == float("inf")

@@ -12,7 +12,7 @@ class Planned(Exception):
 
 @pytest.mark.parametrize("name, models, fits", [("random_forest", ["random_forest"], 16), ("boosted_trees", PRIMARY_MODELS, 1152)])
 def test_registered_queries_fit_the_whole_plan(spark, sf_dir, monkeypatch, name, models, fits):
-    def stop(training, origins, candidates, parallelism=4, forest_trees=FOREST_TREES):
+    def stop(training, origins, candidates, forest_trees=FOREST_TREES):
         raise Planned(sorted(candidates), forest_trees)
 
     monkeypatch.setattr(mo, "fit_candidates", stop)
