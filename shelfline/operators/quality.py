@@ -393,6 +393,18 @@ def roster_gaps(panel: DataFrame) -> DataFrame:
     )
 
 
+def roster_gap_counts(panel: DataFrame) -> DataFrame:
+    """For every SKU with absent warehouses: how many it has and how many it lacks.
+
+    The crossed roster itself is never formed: what is absent is the number of
+    warehouses less those present.
+    """
+    present = panel.select(*SERIES).distinct()
+    all_warehouses = present.agg(F.count_distinct("Warehouse_ID").alias("n")).scalar()
+    counts = present.groupBy("SKU_ID").agg(F.count(F.lit(1)).alias("present"))
+    return counts.withColumn("absent", all_warehouses - F.col("present")).where("absent > 0")
+
+
 def reserved_rows(panel: DataFrame, holdout_start) -> DataFrame:
     """Count of rows that may not enter preparation."""
     return panel.agg(

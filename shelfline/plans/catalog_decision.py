@@ -34,7 +34,7 @@ from shelfline.plans.inventory_fixture import (
     origin_inventory,
     rate_columns,
 )
-from shelfline.plans.oracle_base import DEMAND, GAP, PANEL, with_
+from shelfline.plans.oracle_base import DEMAND, GAP, PANEL, whole, with_
 from shelfline.plans.registry import query
 from shelfline.session import stored
 from shelfline.sources.panels import full_demand, full_panel, gap_panel
@@ -623,18 +623,18 @@ def fold_lineage(spark, sf_dir):
 
 @query("fingerprint", "R4", None)
 def fingerprint_query(spark, sf_dir):
-    return fingerprint(full_panel(spark, sf_dir), ["SKU_ID", "Warehouse_ID", "Date", "Units_Sold"])
+    return fingerprint(full_panel(spark, sf_dir, whole=True), ["SKU_ID", "Warehouse_ID", "Date", "Units_Sold"])
 
 
 @query(
     "frame_equality",
     "U4 U3",
-    with_(PANEL)
+    with_(whole(PANEL))
     + """, l AS (SELECT Date, SKU_ID, Warehouse_ID, Inventory_Level FROM panel), rr AS (SELECT Date, SKU_ID, Warehouse_ID, CASE WHEN Inventory_Level % 50 = 0 THEN Inventory_Level + 1 ELSE Inventory_Level END AS Inventory_Level FROM panel)
 SELECT *, CAST(1 AS BIGINT) AS surplus FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM rr) AS a UNION ALL SELECT *, -1 FROM (SELECT * FROM rr EXCEPT ALL SELECT * FROM l) AS b""",
 )
 def frame_equality(spark, sf_dir):
-    left = full_panel(spark, sf_dir).select("Date", *SERIES, "Inventory_Level")
+    left = full_panel(spark, sf_dir, whole=True).select("Date", *SERIES, "Inventory_Level")
     right = left.withColumn(
         "Inventory_Level",
         F.when(F.col("Inventory_Level") % 50 == 0, F.col("Inventory_Level") + 1).otherwise(

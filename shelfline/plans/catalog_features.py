@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfline.fixed import FEATURES, HORIZONS, SERIES, fold_calendar
 from shelfline.operators import features as fe
 from shelfline.operators import folds as fo
-from shelfline.plans.oracle_base import DEMAND, GAP, with_
+from shelfline.plans.oracle_base import DEMAND, GAP, whole, with_
 from shelfline.plans.registry import query
 from shelfline.sources.panels import FULL_END, FULL_START, full_demand, gap_panel
 
@@ -99,10 +99,10 @@ def build_features(spark, sf_dir):
 @query(
     "features_dense_panel",
     "W1 W2 W3 W4 W5",
-    with_(DEMAND, feature_sql("demand")) + f"SELECT SKU_ID, Warehouse_ID, Date, {r6(FEATURES)} FROM features",
+    with_(whole(DEMAND), feature_sql("demand")) + f"SELECT SKU_ID, Warehouse_ID, Date, {r6(FEATURES)} FROM features",
 )
 def features_dense(spark, sf_dir):
-    return fe.build_features(full_demand(spark, sf_dir)).select(
+    return fe.build_features(full_demand(spark, sf_dir, whole=True)).select(
         *SERIES, "Date", *rounded(FEATURES)
     )
 
@@ -110,12 +110,12 @@ def features_dense(spark, sf_dir):
 @query(
     "calendar_features",
     "W1",
-    with_(DEMAND)
+    with_(whole(DEMAND))
     + """SELECT Date, count(*) AS series, round(sin(2 * pi() * (isodow(Date) - 1) / 7), 6) AS dow_sin,
     round(cos(2 * pi() * (isodow(Date) - 1) / 7), 6) AS dow_cos FROM demand GROUP BY Date""",
 )
 def calendar_features(spark, sf_dir):
-    per_day = full_demand(spark, sf_dir).groupBy("Date").agg(F.count(F.lit(1)).alias("series"))
+    per_day = full_demand(spark, sf_dir, whole=True).groupBy("Date").agg(F.count(F.lit(1)).alias("series"))
     phase = fe.calendar_phase(F.col("Date"))
     return per_day.select(
         "Date", "series", *[F.round(c, 6).alias(n) for n, c in phase.items()]
@@ -160,7 +160,7 @@ def masked_features(spark, sf_dir):
     "horizon_targets",
     "W6",
     with_(
-        DEMAND,
+        whole(DEMAND),
         "inside AS (SELECT SKU_ID, Warehouse_ID, Date, CASE WHEN Date BETWEEN DATE '1997-01-01' AND "
         "DATE '1997-09-30' THEN Units_Sold END AS Units_Sold FROM demand)",
         target_sql("inside"),
@@ -168,7 +168,7 @@ def masked_features(spark, sf_dir):
     + "SELECT * FROM targets",
 )
 def horizon_targets(spark, sf_dir):
-    return fe.build_targets(full_demand(spark, sf_dir), date(YEAR, 1, 1), date(YEAR, 9, 30))
+    return fe.build_targets(full_demand(spark, sf_dir, whole=True), date(YEAR, 1, 1), date(YEAR, 9, 30))
 
 
 ORIGIN_ROWS = """

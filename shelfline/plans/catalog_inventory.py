@@ -24,7 +24,7 @@ from shelfline.plans.inventory_fixture import (
     rate_columns,
     rate_value,
 )
-from shelfline.plans.oracle_base import PANEL, with_
+from shelfline.plans.oracle_base import PANEL, whole, with_
 from shelfline.plans.registry import query
 from shelfline.sources.panels import full_demand
 
@@ -87,7 +87,7 @@ def aligned_horizon_cases(spark, sf_dir):
     )
 
 
-PREP = [PANEL, RECORDS_SQL]
+PREP = [whole(PANEL), RECORDS_SQL]
 ID_SQL = "SKU_ID, Warehouse_ID, CAST(d AS VARCHAR) AS record_day"
 ID = [*SERIES, "record_day"]
 
@@ -217,7 +217,7 @@ def inv_prepare(spark, sf_dir):
 @query(
     "inv_identity_check",
     "I9",
-    with_(PANEL)
+    with_(whole(PANEL))
     + " UNION ALL ".join(
         f"SELECT '{c}_invalid_identifier' AS \"check\", CAST(count(*) - count(*) AS BIGINT) AS affected FROM panel"
         for c in ("SKU_ID", "Warehouse_ID", "run_id", "evaluation_stage", "evidence_role", "model", "configuration_id")

@@ -19,7 +19,7 @@ from shelfline.plans.catalog_features import prepared_sql
 from shelfline.plans.catalog_inventory import EXPORT_COLUMNS
 from shelfline.plans.catalog_profile import SUMMARY, r
 from shelfline.plans.inventory_fixture import FINAL_SQL, final_export
-from shelfline.plans.oracle_base import DEMAND, PANEL, with_
+from shelfline.plans.oracle_base import DEMAND, PANEL, whole, with_
 from shelfline.plans.registry import query
 from shelfline.session import scratch_path
 from shelfline.sources import csv_source as cs
@@ -28,6 +28,8 @@ from shelfline.sources import identity as fi
 from shelfline.sources import markdown as md
 from shelfline.sources.panels import full_demand, full_panel, raw_panel
 
+# publications and profiles cover the whole log; folds and origins the panel year
+WHOLE_DEMAND, WHOLE_PANEL = whole(DEMAND), whole(PANEL)
 START, END = date(1997, 3, 1), date(1997, 8, 31)
 SCOPE = "Date BETWEEN DATE '1997-03-01' AND DATE '1997-08-31'"
 
@@ -35,13 +37,13 @@ SCOPE = "Date BETWEEN DATE '1997-03-01' AND DATE '1997-08-31'"
 @query(
     "scan_scoped_csv",
     "S1",
-    with_(PANEL)
+    with_(WHOLE_PANEL)
     + f"SELECT CAST(Date AS VARCHAR) AS Date, SKU_ID, Warehouse_ID, Supplier_ID, Region, CAST(Units_Sold AS VARCHAR) AS Units_Sold, CAST(Inventory_Level AS VARCHAR) AS Inventory_Level, CAST(Promotion_Flag AS VARCHAR) AS Promotion_Flag FROM panel WHERE {SCOPE}",
 )
 def scan_scoped_csv(spark, sf_dir):
     path = scratch_path(spark, "source-csv")
     shuffled = [PANEL_COLUMNS[-1], *PANEL_COLUMNS[:-1]]  # header order is free
-    cs.write_csv(raw_panel(spark, sf_dir).select(*shuffled), path)
+    cs.write_csv(raw_panel(spark, sf_dir, whole=True).select(*shuffled), path)
     return cs.scan_scoped_csv(spark, path, START, END).select(
         "Date", *SERIES, "Supplier_ID", "Region", "Units_Sold", "Inventory_Level", "Promotion_Flag"
     )
@@ -49,14 +51,14 @@ def scan_scoped_csv(spark, sf_dir):
 
 def _published(spark, sf_dir):
     path = scratch_path(spark, "handoff")
-    ho.sink_validated(raw_panel(spark, sf_dir), path)
+    ho.sink_validated(raw_panel(spark, sf_dir, whole=True), path)
     return path
 
 
 @query(
     "scan_projection",
     "S2",
-    with_(PANEL) + f"SELECT SKU_ID, Warehouse_ID, Date, Units_Sold FROM panel WHERE {SCOPE}",
+    with_(WHOLE_PANEL) + f"SELECT SKU_ID, Warehouse_ID, Date, Units_Sold FROM panel WHERE {SCOPE}",
 )
 def scan_projection(spark, sf_dir):
     columns = [*SERIES, "Date", "Units_Sold"]
@@ -66,11 +68,11 @@ def scan_projection(spark, sf_dir):
 @query(
     "projection_defects",
     "S2 S3",
-    with_(PANEL)
-    + "SELECT CAST(0 AS BIGINT) AS null_SKU_ID, CAST(0 AS BIGINT) AS null_Units_Sold, max(Date) < DATE '1998-01-31' AS scope_exceeds_publication FROM panel",
+    with_(WHOLE_PANEL)
+    + "SELECT CAST(0 AS BIGINT) AS null_SKU_ID, CAST(0 AS BIGINT) AS null_Units_Sold, max(Date) < DATE '2099-01-31' AS scope_exceeds_publication FROM panel",
 )
 def projection_defects(spark, sf_dir):
-    end = date(1998, 1, 31)
+    end = date(2099, 1, 31)
     path = _published(spark, sf_dir)
     rows = ho.scan_projection(spark, path, ["SKU_ID", "Units_Sold", "Date"], START, end)
     return ho.projection_defects(rows, START, end).drop("null_Date")
@@ -79,7 +81,8 @@ def projection_defects(spark, sf_dir):
 @query(
     "scan_forecasting_projection",
     "S3 V16",
-    with_(DEMAND) + "SELECT SKU_ID, Warehouse_ID, Date, Units_Sold FROM demand WHERE Date < DATE '1997-12-03'",
+    with_(WHOLE_DEMAND)
+    + "SELECT SKU_ID, Warehouse_ID, Date, Units_Sold FROM demand WHERE Date BETWEEN DATE '1997-01-01' AND DATE '1997-12-02'",
 )
 def scan_forecasting_projection(spark, sf_dir):
     columns = [*SERIES, "Date", "Units_Sold"]
@@ -91,15 +94,13 @@ def scan_forecasting_projection(spark, sf_dir):
 @query(
     "sink_validated",
     "S4 K5",
-    with_(PANEL)
+    with_(WHOLE_PANEL)
     + """SELECT count(*) AS rows, count(DISTINCT (SKU_ID, Warehouse_ID, Date)) AS unique_keys, min(Date) AS date_min, max(Date) AS date_max,
 CAST(0 AS BIGINT) AS readback_differences FROM panel""",
 )
 def sink_validated(spark, sf_dir):
-    stored = ho.scan_projection(
-        spark, _published(spark, sf_dir), PANEL_COLUMNS, date(1997, 1, 1), date(1997, 12, 31)
-    )
-    difference = multiset_difference(dq.typed_panel(raw_panel(spark, sf_dir)), stored)
+    stored = ho.scan_validated(spark, _published(spark, sf_dir))
+    difference = multiset_difference(dq.typed_panel(raw_panel(spark, sf_dir, whole=True)), stored)
     n = difference.agg(F.count(F.lit(1)).alias("n")).scalar()
     return ho.receipt(stored).drop("token").withColumn("readback_differences", n)
 
@@ -107,7 +108,7 @@ def sink_validated(spark, sf_dir):
 @query(
     "scan_validated",
     "S5 V1",
-    with_(PANEL)
+    with_(WHOLE_PANEL)
     + f"SELECT Date, SKU_ID, Warehouse_ID, Units_Sold, Inventory_Level, Reorder_Point, Order_Quantity, Promotion_Flag, round(Unit_Cost, 6) AS Unit_Cost FROM panel",
 )
 def scan_validated(spark, sf_dir):
@@ -127,11 +128,11 @@ def scan_validated(spark, sf_dir):
 @query(
     "output_receipt",
     "A36",
-    with_(PANEL)
+    with_(WHOLE_PANEL)
     + "SELECT count(*) AS rows, count(DISTINCT (SKU_ID, Warehouse_ID, Date)) AS unique_keys, min(Date) AS date_min, max(Date) AS date_max FROM panel",
 )
 def output_receipt(spark, sf_dir):
-    return ho.receipt(full_panel(spark, sf_dir)).drop("token")
+    return ho.receipt(full_panel(spark, sf_dir, whole=True)).drop("token")
 
 
 def _model_ready(spark, sf_dir):
@@ -243,11 +244,11 @@ def forecast_export_json(spark, sf_dir):
 @query(
     "sink_tables_csv",
     "S12",
-    with_(PANEL) + f"SELECT SKU_ID, Warehouse_ID, {SUMMARY} FROM panel GROUP BY 1, 2",
+    with_(WHOLE_PANEL) + f"SELECT SKU_ID, Warehouse_ID, {SUMMARY} FROM panel GROUP BY 1, 2",
 )
 def sink_tables_csv(spark, sf_dir):
     table = r(
-        pr.summarize(full_panel(spark, sf_dir), SERIES), "mean", "std", "zero_share", "promotion_share"
+        pr.summarize(full_panel(spark, sf_dir, whole=True), SERIES), "mean", "std", "zero_share", "promotion_share"
     )
     folder = scratch_path(spark, "profiles")
     cs.sink_tables_csv({"series": table}, folder)

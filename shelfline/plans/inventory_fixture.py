@@ -20,10 +20,10 @@ ORIGIN = date(1997, 12, 2)
 
 
 def defective_records(spark, sf_dir):
-    """One forecast/inventory record per panel row, cells broken by rule."""
+    """One forecast/inventory record per row of the whole panel, cells broken by rule."""
     skus, whs = rank_tables(spark, sf_dir)
     p = (
-        with_inventory(published_demand(spark, sf_dir), skus, whs)
+        with_inventory(published_demand(spark, sf_dir, whole=True), skus, whs)
         .join(skus, "SKU_ID")
         .join(whs, "Warehouse_ID")
         .withColumn("k", day_no() * 31 + F.col("_sn") * 7 + F.col("_wn"))
