@@ -45,6 +45,8 @@ MOST_BYTES = 64 << 20
 
 #: Pairs of neighbours whose merges a task remembers.
 MOST_PAIRS = 1 << 20
+#: Words whose ids a task keeps from slice to slice.
+MOST_WORDS = 1 << 19
 
 
 @dataclass
@@ -153,7 +155,7 @@ class Vocabulary:
 
 def by_merges(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
     """The ids of each word of a sorted list without repeats, as the merges give them."""
-    find, neighbours = vocabulary.prefixes.get, vocabulary.neighbours
+    find, neighbours, pairs = vocabulary.prefixes.get, vocabulary.neighbours, vocabulary.pairs
     back, last, open_at = [0], [""], [()]
     out, previous = [], ""
     for word in words:
@@ -170,8 +172,12 @@ def by_merges(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
                 number = find(piece)
                 if number is not None:
                     still.append(start)
-                if chosen is None and (start == end - 1 or (number is not None and number >= 0)) and neighbours(last[start], piece):
-                    came, chosen = start, piece
+                elif start < end - 1:
+                    continue
+                if chosen is None and (start == end - 1 or number >= 0):
+                    fits = pairs.get((last[start], piece))
+                    if fits or (fits is None and neighbours(last[start], piece)):
+                        came, chosen = start, piece
             if chosen is None:
                 raise AssertionError("a prefix without a last piece")
             back.append(came)
@@ -250,11 +256,18 @@ def segment(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
     return out
 
 
-def encode_texts(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """All ids, one text after the other, and len + 1 offsets."""
+def encode_texts(texts: list[str | None], vocabulary: Vocabulary, known: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, one text after the other, and len + 1 offsets; ``known`` keeps words from call to call."""
     units = [vocabulary.units(t or "") for t in texts]
-    words = sorted(set(chain.from_iterable(units)))
-    found = segment(words, vocabulary)
+    known = {} if known is None else known
+    fresh = sorted(set(chain.from_iterable(units)).difference(known))
+    if len(known) + len(fresh) > MOST_WORDS:
+        known.clear()
+        fresh = sorted(set(chain.from_iterable(units)))
+    # of several slices only words that none of the others had; a long slice may hold more than is kept
+    known.update(zip(fresh, segment(fresh, vocabulary), strict=True))
+    words = list(set(chain.from_iterable(units)))
+    found = [known[w] for w in words]
     sizes = np.array([len(x) for x in found], np.int64)
     flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
     begin = np.cumsum(sizes) - sizes
@@ -286,11 +299,11 @@ def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids, and whether the decoded ids give back the text (null for a null text)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(vocabulary)
+        decoder, known = Decoder(vocabulary), {}
         for whole in batches:
             for batch in T.slices(whole):
                 texts = batch.column("text").to_pylist()
-                ids, offs = encode_texts(texts, vocabulary)
+                ids, offs = encode_texts(texts, vocabulary, known)
                 same = [None if t is None else t == d for t, d in zip(texts, decoder(ids, offs), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(np.diff(offs)), T.arrays(ids, offs, pa.int32()), pa.array(same, pa.bool_())],
