@@ -105,9 +105,11 @@ def calendar_date(df: DataFrame, name: str) -> Column:
 
 
 def finite_number(df: DataFrame, name: str) -> Column:
-    if dict(df.dtypes)[name] == "boolean":
+    """A finite number as double; only text is parsed, numeric columns are taken as they are."""
+    kind = dict(df.dtypes)[name]
+    if kind == "boolean":
         return F.lit(None).cast("double")
-    value = number(name)
+    value = number(name) if kind == "string" else F.col(name).cast("double")
     return F.when(finite(value), value)
 
 

@@ -7,7 +7,9 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from shelfline.fixed import FEATURES, PRIMARY_MODELS, PRODUCERS, SERIES
+from shelfline.functions.expr import finite
 from shelfline.operators import encode as en
+from shelfline.operators import export as ex
 from shelfline.operators import features as fe
 from shelfline.operators import folds as fo
 from shelfline.operators import forecast as fc
@@ -20,7 +22,7 @@ from shelfline.plans.catalog_features import prepared_sql
 from shelfline.plans.catalog_profile import r
 from shelfline.plans.oracle_base import DEMAND, PANEL, with_
 from shelfline.plans.registry import query
-from shelfline.session import scratch_path, stored
+from shelfline.session import published, scratch_path, stored
 from shelfline.sources.panels import FULL_END, FULL_START, published_demand, rank_tables
 from shelfline.streaming import requests as stream
 
@@ -174,15 +176,26 @@ def boosted_trees(spark, sf_dir):
     return _fitted_scores(spark, sf_dir, _planned(*PRIMARY_MODELS), FOLDS[:4])
 
 
+def sealed_final_predictions(spark, sf_dir):
+    """Final predictions of ridge and the designated producers, from history alone and stored once."""
+    folds = FOLDS[4:]
+
+    def build():
+        history = published_demand(spark, sf_dir).where(F.col("Date") <= F.lit(folds[0].end))
+        training = stored(fo.training_rows(fe.features_and_targets(history), folds), "training")
+        origins = stored(fe.origin_features(history, folds), "origins")
+        plan = [("ridge", h, "fixed", 5) for h in (1, 7, 14, 28)] + [(m, h, c, 5) for h, m, c in PRODUCERS]
+        return mo.fit_candidates(training, origins, plan)
+
+    sources = [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "part", "supplier", "nation", "region")]
+    return published(spark, f"final-predictions:{sf_dir}", sources, build)
+
+
 @query("final_refit", "M12 S18")
 def final_refit(spark, sf_dir):
     """Refit ridge and the designated producers on all history, store predictions, only then read outcomes."""
     folds = FOLDS[4:]
-    history = published_demand(spark, sf_dir).where(F.col("Date") <= F.lit(folds[0].end))
-    training = stored(fo.training_rows(fe.features_and_targets(history), folds), "training")
-    origins = stored(fe.origin_features(history, folds), "origins")
-    plan = [("ridge", h, "fixed", 5) for h in (1, 7, 14, 28)] + [(m, h, c, 5) for h, m, c in PRODUCERS]
-    sealed = mo.fit_candidates(training, origins, plan)
+    sealed = sealed_final_predictions(spark, sf_dir)
     outcomes = published_demand(spark, sf_dir).where(F.col("Date") > F.lit(folds[0].end))
     observed = fo.observed_targets(
         fe.build_targets(outcomes, folds[0].end, folds[0].outcome_end), folds
@@ -191,6 +204,40 @@ def final_refit(spark, sf_dir):
     return me.score(rows, [*me.SUMMARY_KEYS, "fold_id"])
 
 
+def learned_export(spark, sf_dir):
+    """The export of the designated producers as fitted, not of stand-ins."""
+    return ex.build_export(fc.forecast_rows(sealed_final_predictions(spark, sf_dir), None, FOLDS, RUN, "final_evaluation"))
+
+
+@query(
+    "export_learned",
+    "M17 M12 S18",
+    with_(DEMAND)
+    + """SELECT SKU_ID, Warehouse_ID, DATE '1997-12-02' AS forecast_origin, horizon, DATE '1997-12-03' AS target_start_date,
+DATE '1997-12-02' + horizon AS target_end_date, model, configuration_id, 'bench-run' AS run_id, 'final_evaluation' AS evaluation_stage,
+'primary' AS evidence_role, CASE WHEN horizon = 1 THEN 'next_day' ELSE 'cumulative_window' END AS forecast_type, true AS usable
+FROM (SELECT DISTINCT SKU_ID, Warehouse_ID FROM demand WHERE Date <= DATE '1997-12-02') AS roster,
+(VALUES (1, 'lightgbm', 'GBM018'), (7, 'lightgbm', 'GBM011'), (14, 'xgboost', 'GBM022'), (28, 'xgboost', 'GBM003')) AS p(horizon, model, configuration_id)""",
+)
+def export_learned(spark, sf_dir):
+    """The whole grid of the learned export; the quantities are the models' and only checked to be finite."""
+    export = learned_export(spark, sf_dir)
+    kept = ["forecast_origin", "horizon", "target_start_date", "target_end_date", "model", "configuration_id", "run_id", "evaluation_stage", "evidence_role", "forecast_type"]
+    return export.select(*SERIES, *kept, finite("prediction").alias("usable"))
+
+
+@query("exposure_learned", "M17 I13 J5")
+def exposure_learned(spark, sf_dir):
+    """Learned forecasts against origin inventory and later sales: cases of the gated horizons."""
+    from shelfline.operators import inventory as iv
+    from shelfline.plans.inventory_fixture import later_sales, origin_inventory
+
+    cases, _ = iv.paired_evaluation(
+        learned_export(spark, sf_dir), origin_inventory(spark, sf_dir), later_sales(spark, sf_dir), "source-confirmed"
+    )
+    return cases.groupBy("horizon", "origin_exposure_state", "forecast_exposure_state", "comparison_case").agg(F.count(F.lit(1)).alias("cases"))
+
+
 @query("model_replay", "M4 M15")
 def model_replay(spark, sf_dir):
     """Save and reload an encoder, re-encode, and compare with the stored matrix."""
