@@ -7,26 +7,27 @@ from datetime import date
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfline.fixed import FOLD_METRIC_COLUMNS, MODEL_ORDER, PANEL_COLUMNS, SERIES
+from shelfline.fixed import EXCLUSIONS, FOLD_METRIC_COLUMNS, MODEL_ORDER, PANEL_COLUMNS, SERIES
 from shelfline.functions.grids import multiset_difference
 from shelfline.operators import features as fe
 from shelfline.operators import folds as fo
 from shelfline.operators import metrics as me
 from shelfline.operators import profile as pr
 from shelfline.operators import quality as dq
-from shelfline.plans.backtest_fixture import CANDIDATES_SQL, FOLDS, SCORE_SQL, validation_rows
+from shelfline.plans.backtest_fixture import CANDIDATES_SQL, FOLDS, SCORE_SQL, SUMMARY_SQL, validation_rows
+from shelfline.plans.catalog_features import _eligibility_sql as eligibility_sql
 from shelfline.plans.catalog_features import prepared_sql
 from shelfline.plans.catalog_inventory import EXPORT_COLUMNS
 from shelfline.plans.catalog_profile import SUMMARY, r
 from shelfline.plans.inventory_fixture import FINAL_SQL, final_export
-from shelfline.plans.oracle_base import DEMAND, PANEL, whole, with_
+from shelfline.plans.oracle_base import DEMAND, GAP, PANEL, whole, with_
 from shelfline.plans.registry import query
 from shelfline.session import scratch_path
 from shelfline.sources import csv_source as cs
 from shelfline.sources import handoff as ho
 from shelfline.sources import identity as fi
 from shelfline.sources import markdown as md
-from shelfline.sources.panels import full_demand, full_panel, raw_panel
+from shelfline.sources.panels import full_demand, full_panel, gap_panel, raw_panel
 
 # publications and profiles cover the whole log; folds and origins the panel year
 WHOLE_DEMAND, WHOLE_PANEL = whole(DEMAND), whole(PANEL)
@@ -210,6 +211,62 @@ def evidence_csv(spark, sf_dir):
     return r(back, "wape", "mae", "rmse", "bias", "wape_denominator")
 
 
+def _evidence_table(spark, df, order):
+    """A table through its evidence CSV: written in protocol order, read back by its own schema."""
+    path = scratch_path(spark, "evidence")
+    cs.sink_evidence_csv(df, df.columns, path, order)
+    return cs.scan_evidence_csv(spark, path, df.schema)
+
+
+@query(
+    "evidence_csv_predictions",
+    "S8 S9",
+    with_(*CANDIDATES_SQL)
+    + """SELECT run_id, evaluation_stage, evidence_role, model, horizon, configuration_id, fold_id, SKU_ID, Warehouse_ID, forecast_origin, target_start_date,
+target_end_date, round(prediction, 6) AS prediction, round(observed_target, 6) AS observed_target FROM frows WHERE fold_id <= 4""",
+)
+def evidence_csv_predictions(spark, sf_dir):
+    names = ["run_id", "evaluation_stage", "evidence_role", "model", "horizon", "configuration_id", "fold_id", *SERIES, "forecast_origin", "target_start_date", "target_end_date", "prediction", "observed_target"]
+    ranked = validation_rows(spark, sf_dir).select(*names)
+    rank = F.array_position(F.array(*[F.lit(m) for m in MODEL_ORDER]), F.col("model"))
+    back = _evidence_table(spark, ranked, [rank, "horizon", "configuration_id", "fold_id", *SERIES])
+    return r(back, "prediction", "observed_target")
+
+
+@query(
+    "evidence_csv_summary",
+    "S8 S9",
+    with_(*CANDIDATES_SQL, SCORE_SQL, SUMMARY_SQL)
+    + """SELECT run_id, evaluation_stage, evidence_role, model, horizon, configuration_id, valid_fold_count, n_predictions,
+round(mean_wape, 6) AS mean_wape, round(mean_mae, 6) AS mean_mae, round(mean_rmse, 6) AS mean_rmse, round(mean_bias, 6) AS mean_bias FROM summ""",
+)
+def evidence_csv_summary(spark, sf_dir):
+    scores = me.score(validation_rows(spark, sf_dir), [*me.SUMMARY_KEYS, "fold_id"])
+    means = [f"mean_{m}" for m in ("wape", "mae", "rmse", "bias")]
+    names = ["run_id", "evaluation_stage", "evidence_role", "model", "horizon", "configuration_id", "valid_fold_count", "n_predictions", *means]
+    rank = F.array_position(F.array(*[F.lit(m) for m in MODEL_ORDER]), F.col("model"))
+    summary = me.configuration_summary(scores).select(*names)
+    return r(_evidence_table(spark, summary, [rank, "horizon", "configuration_id"]), *means)
+
+
+@query(
+    "evidence_csv_exclusions",
+    "S8 S9 A22",
+    "WITH counts AS ("
+    + eligibility_sql(GAP, "gap")
+    + ") "
+    + " UNION ALL ".join(
+        f"SELECT fold_id, horizon, SKU_ID, Warehouse_ID, raw_row_count, training_row_count, '{name}' AS exclusion_reason, {name} AS reason_count FROM counts"
+        for name in EXCLUSIONS
+    ),
+)
+def evidence_csv_exclusions(spark, sf_dir):
+    """Eligibility evidence with a row for each exclusion reason."""
+    counts = fo.eligibility_counts(fe.features_and_targets(gap_panel(spark, sf_dir)), FOLDS)
+    names = ["fold_id", "horizon", *SERIES, "raw_row_count", "training_row_count", "exclusion_reason", "reason_count"]
+    return _evidence_table(spark, fo.exclusion_rows(counts).select(*names), ["horizon", "fold_id", *SERIES, "exclusion_reason"])
+
+
 @query(
     "evidence_nonfinite_cells",
     "S9",
