@@ -22,6 +22,7 @@ left out.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,7 +47,7 @@ MOST_BYTES = 64 << 20
 #: Pairs of neighbours whose merges a task remembers.
 MOST_PAIRS = 1 << 20
 #: Words whose ids a task keeps from slice to slice.
-MOST_WORDS = 1 << 19
+MOST_WORDS = 1 << 18
 
 
 @dataclass
@@ -107,6 +108,10 @@ class Vocabulary:
             vocabulary.byte_ids = [bytes_found[b] for b in range(256)]
         return vocabulary
 
+    def key(self) -> str:
+        """Tells vocabularies apart by all that decides ids."""
+        return hashlib.sha256(repr((self.strings, self.prefixes, self.scores, self.unknown, self.byte_ids, self.lines, self.merges)).encode()).hexdigest()
+
     def merged(self, text: str) -> list[str]:
         """The pieces that the merges give for a short text."""
         parts, find, scores = list(text), self.prefixes.get, self.scores
@@ -256,18 +261,40 @@ def segment(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
     return out
 
 
-def encode_texts(texts: list[str | None], vocabulary: Vocabulary, known: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All ids, one text after the other, and len + 1 offsets; ``known`` keeps words from call to call."""
+class Words:
+    """Ids of words from slice to slice: those of the last and of the one before, each of bounded number."""
+
+    def __init__(self, most: int = MOST_WORDS) -> None:
+        self.now: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
+        self.most = most
+
+    def of(self, words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
+        """The ids of each word; words that are not kept are walked through in order, sharing their prefixes."""
+        if len(self.now) > self.most:
+            self.before, self.now = self.now, {}
+        now, before, fresh = self.now, self.before, []
+        for word in words:
+            if word not in now:
+                ids = before.get(word)
+                if ids is None:
+                    fresh.append(word)
+                else:
+                    now[word] = ids
+        fresh.sort()
+        now.update(zip(fresh, segment(fresh, vocabulary), strict=True))
+        return [now[w] for w in words]
+
+
+#: Of a Python worker: what its tasks have learned about a vocabulary's words and pairs.
+_LEARNED: dict[str, tuple[Words, dict[tuple[str, str], bool]]] = {}
+
+
+def encode_texts(texts: list[str | None], vocabulary: Vocabulary, kept: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, one text after the other, and len + 1 offsets; ``kept`` has words from earlier calls."""
     units = [vocabulary.units(t or "") for t in texts]
-    known = {} if known is None else known
-    fresh = sorted(set(chain.from_iterable(units)).difference(known))
-    if len(known) + len(fresh) > MOST_WORDS:
-        known.clear()
-        fresh = sorted(set(chain.from_iterable(units)))
-    # of several slices only words that none of the others had; a long slice may hold more than is kept
-    known.update(zip(fresh, segment(fresh, vocabulary), strict=True))
     words = list(set(chain.from_iterable(units)))
-    found = [known[w] for w in words]
+    found = (kept or Words()).of(words, vocabulary)
     sizes = np.array([len(x) for x in found], np.int64)
     flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
     begin = np.cumsum(sizes) - sizes
@@ -299,11 +326,13 @@ def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids, and whether the decoded ids give back the text (null for a null text)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, known = Decoder(vocabulary), {}
+        # a worker that has had a task with this vocabulary goes on with its words
+        kept, vocabulary.pairs = _LEARNED.setdefault(vocabulary.key(), (Words(), vocabulary.pairs))
+        decoder = Decoder(vocabulary)
         for whole in batches:
             for batch in T.slices(whole):
                 texts = batch.column("text").to_pylist()
-                ids, offs = encode_texts(texts, vocabulary, known)
+                ids, offs = encode_texts(texts, vocabulary, kept)
                 same = [None if t is None else t == d for t, d in zip(texts, decoder(ids, offs), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(np.diff(offs)), T.arrays(ids, offs, pa.int32()), pa.array(same, pa.bool_())],

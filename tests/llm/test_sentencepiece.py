@@ -92,3 +92,14 @@ def test_ids_outside_the_vocabulary_fail(spark, vocabulary):
     bad = spark.createDataFrame([(1, [5_000_000])], "doc_id long, ids array<int>")
     with pytest.raises(Exception, match="outside the vocabulary"):
         sp.decode(bad, vocabulary).collect()
+
+
+def test_words_kept_from_slice_to_slice_have_the_same_ids(vocabulary):
+    """Small generations are dropped and refilled in between."""
+    texts = [f"The government of word{i % 37} and policy{i % 11} goes on, {i}" for i in range(120)]
+    expected = sp.encode_texts(texts, vocabulary)
+    kept, ids = sp.Words(most=20), []
+    for begin in range(0, 120, 10):
+        found, _ = sp.encode_texts(texts[begin : begin + 10], vocabulary, kept)
+        ids += found.tolist()
+    assert ids == expected[0].tolist() and len(kept.now) < 80
