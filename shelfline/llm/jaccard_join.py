@@ -6,14 +6,15 @@ blocks, so that one block at least is the same in both: blocks are the join key,
 and no pair is lost.  K leaves room for blocks that are empty; a set with more
 empty blocks than that room also shares its empty blocks as keys.
 
-1. Every set sends a hash of each block.  Equal keys within a piece of a task are
-   merged before the shuffle, so a key has one row for each piece at most, however
-   many copies there are.  Keys meet as a star: (key, smallest document, other).
-2. Stars are verified exactly and contracted into components.
+1. Every set has a hash of each block.  Equal keys within a piece of a task form local
+   stars, whose pairs are tested there, where the sets are at hand, and contracted; a
+   key then has one row for each piece at most, however many copies there are.  These
+   rows meet as a star again: (key, smallest document, other).
+2. The stars between pieces are verified exactly; all links make components.
 3. Keys whose stars join different components are looked at in full (the stars of
-   a key hold all its sets): within such a key, sets of different components meet in tiles of bounded size, where bit
-   counts of hashed bitmaps bound the overlap from above before the exact
-   intersection of sorted arrays.
+   a key hold all its sets): within such a key, sets of different components meet in
+   tiles of bounded size, where bit counts of hashed bitmaps bound the overlap from
+   above before the exact intersection of sorted arrays.
 
 Only components and exact links between distinct texts are asked for, so copies
 are never expanded into all their pairs.  Shingles are 64-bit hashes of words
@@ -140,11 +141,19 @@ def set_sizes(documents: DataFrame, words: int = 4) -> DataFrame:
     return documents.mapInArrow(sizes, "doc_id long, n_shingles long, digest binary")
 
 
-def _pack(part: int, star: bool, key, doc, center=None) -> dict:
-    return {"part": part, "star": star, "k": key.tobytes(), "d": doc.tobytes(), "c": center.tobytes() if star else None}
+#: What a row says: a key and its document; a star between pieces, not tested yet; a star
+#: of one piece with its ends in different or in the same component there; a link.
+KEY, UNTESTED, APART, TOGETHER, LINK = range(5)
 
+_PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("k", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
 
-_PACKED = pa.schema([("part", pa.int32()), ("star", pa.bool_()), ("k", pa.binary()), ("d", pa.binary()), ("c", pa.binary())])
+
+def _packed(parts: np.ndarray, kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[dict]:
+    """Rows of the columns' bytes, one for each run of equal parts and 20,000 entries at most."""
+    for place in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(parts)) + 1):
+        for at in range(0, len(place), 20_000):
+            cut = slice(place[at], place[min(at + 20_000, len(place)) - 1] + 1)
+            yield dict(part=int(parts[place[at]]), kind=kind, k=key[cut].tobytes(), a=a[cut].tobytes(), b=b[cut].tobytes())
 
 
 def _stars(key: np.ndarray, doc: np.ndarray):
@@ -158,51 +167,72 @@ def _stars(key: np.ndarray, doc: np.ndarray):
     return key[begins], doc[begins], key[rest], center[rest], doc[rest]
 
 
+def contracted(sets: list[np.ndarray], docs: np.ndarray, pairs: np.ndarray, percent: int):
+    """Each set's component under the links among the pairs, and the links (document, document) that made them.
+
+    ``docs`` ascend; sets of one document are one node.  A pair within a component is not tested again.
+    """
+    root = np.searchsorted(docs, docs).tolist()
+    size = np.array([len(s) for s in sets], np.int64)
+    links = []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    few, many = np.sort(size[pairs], axis=1).T
+    for a, b in pairs[enough(few, few, many, percent)].tolist():
+        x, y = find(a), find(b)
+        if x != y and linked(sets[a], sets[b], percent):
+            root[max(x, y)] = min(x, y)
+            links.append((docs[a], docs[b]))
+    return np.array([find(i) for i in range(len(sets))], np.int64), np.array(links, np.int64).reshape(-1, 2)
+
+
 def star_rows(documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """(k, a, b): documents a and b share key k; each key's documents form one star, by way of stars within tasks."""
+    """(kind, k, a, b): links, and stars of documents a and b that share key k.
+
+    Each key's sets are those of its stars, by way of one star within each piece.
+    """
     spark = documents.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * tasks
 
+    def rows(held: list) -> Iterator[dict]:
+        held.sort(key=lambda row: row[0])
+        docs, sets = np.array([d for d, _, _ in held], np.int64), [s for _, s, _ in held]
+        at = np.repeat(np.arange(len(held)), [len(ks) for _, _, ks in held])
+        key, first, star_k, star_c, star_d = _stars(np.concatenate([ks for _, _, ks in held]), at)
+        pairs = np.unique(np.stack([star_c, star_d], axis=1), axis=0)
+        component, links = contracted(sets, docs, pairs, percent)
+        part = ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        yield from _packed(part, KEY, key, docs[first], docs[first])
+        spread = lambda n: (np.arange(n) // 20_000 * 7919 + docs[0]) % parts
+        same = component[star_c] == component[star_d]
+        for kind, some in ((APART, ~same), (TOGETHER, same & (docs[star_c] != docs[star_d]))):
+            yield from _packed(spread(some.sum()), kind, star_k[some], docs[star_c[some]], docs[star_d[some]])
+        yield from _packed(spread(len(links)), LINK, np.zeros(len(links), np.uint64), links[:, 0], links[:, 1])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, held, docs, seen, count = Bands(percent), [], [], {}, 0
-        same: list[tuple[int, int]] = []
+        bands, held, seen, count = Bands(percent), [], set(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = []
-            key, doc, star_k, star_c, star_d = _stars(
-                np.concatenate(held or [np.zeros(0, np.uint64)]),
-                np.repeat(np.array(docs, np.int64), [len(x) for x in held]),
-            )
-            part = ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            cut = np.flatnonzero(np.diff(part)) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
-                if b > a:
-                    rows.append(_pack(int(part[a]), False, key[a:b], doc[a:b]))
-            if same:
-                pairs = np.array(same, np.int64)
-                star_k = np.concatenate([star_k, np.zeros(len(pairs), np.uint64)])
-                star_c, star_d = np.concatenate([star_c, pairs[:, 0]]), np.concatenate([star_d, pairs[:, 1]])
-            for at in range(0, len(star_k), 20_000):
-                piece = slice(at, at + 20_000)
-                place = int((int(star_d[at]) * 0x9E3779B97F4A7C15 >> 20) % parts)
-                rows.append(_pack(place, True, star_k[piece], star_d[piece], star_c[piece]))
-            held.clear(), docs.clear(), seen.clear(), same.clear()
-            for at in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_pylist(rows[at : at + 64], _PACKED)
+            found = list(rows(held)) if held else []
+            held.clear(), seen.clear()
+            for at in range(0, len(found), 64):
+                yield pa.RecordBatch.from_pylist(found[at : at + 64], _PACKED)
 
         for whole in batches:
             for batch in T.slices(whole):
                 sets = shingle_sets(*T.buffer(batch.column("text")), words)
                 for doc, s in zip(batch.column("doc_id").to_pylist(), sets, strict=True):
-                    if doc is None or not len(s):
+                    if doc is None or not len(s) or (digest := _digest(s)) in seen:
                         continue
-                    if (first := seen.setdefault(_digest(s), doc)) != doc:
-                        same.append((first, doc))
-                        continue
-                    held.append(keys(s, bands))
-                    docs.append(doc)
-                    count += len(held[-1])
+                    seen.add(digest)
+                    held.append((doc, s, keys(s, bands)))
+                    count += len(s) + len(held[-1][2])
                 if count > PIECE:
                     yield from flush()
                     count = 0
@@ -212,23 +242,24 @@ def star_rows(documents: DataFrame, words: int, percent: int) -> DataFrame:
         key, doc, out = [], [], []
         for batch in batches:
             for row in batch.to_pylist():
-                k, d = np.frombuffer(row["k"], np.uint64), np.frombuffer(row["d"], np.int64)
-                if row["star"]:
-                    out.append((k, np.frombuffer(row["c"], np.int64), d))
-                else:
+                k, a, b = (np.frombuffer(row[c], t) for c, t in (("k", np.uint64), ("a", np.int64), ("b", np.int64)))
+                if row["kind"] == KEY:
                     key.append(k)
-                    doc.append(d)
+                    doc.append(a)
+                else:
+                    out.append((row["kind"], k, a, b))
         if key:
-            out.append(_stars(np.concatenate(key), np.concatenate(doc))[2:])
-        for k, c, d in out:
+            out.append((UNTESTED, *_stars(np.concatenate(key), np.concatenate(doc))[2:]))
+        for kind, k, a, b in out:
             for at in range(0, len(k), 100_000):
                 piece = slice(at, at + 100_000)
+                kinds = pa.array(np.full(len(k[piece]), kind, np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k[piece].view(np.int64)), pa.array(c[piece]), pa.array(d[piece])], ["k", "a", "b"]
+                    [kinds, pa.array(k[piece].view(np.int64)), pa.array(a[piece]), pa.array(b[piece])], ["kind", "k", "a", "b"]
                 )
 
-    packed = documents.mapInArrow(send, "part int, star boolean, k binary, d binary, c binary")
-    return packed.repartition(tasks, "part").mapInArrow(meet, "k long, a long, b long")
+    packed = documents.mapInArrow(send, "part int, kind int, k binary, a binary, b binary")
+    return packed.repartition(tasks, "part").mapInArrow(meet, "kind int, k long, a long, b long")
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
@@ -287,9 +318,8 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
 def _tile_pairs(texts: DataFrame, rest: DataFrame, words: int, percent: int) -> DataFrame:
     """Of sets that share a key (k, doc, comp, rows): pairs of different components that sizes and bitmaps allow.
 
-    A pair comes from the tile of the smallest key that both have, so from one tile only.
+    A pair may come from the tiles of several keys; bitmaps are all that a tile holds of a set.
     """
-    own = rest.groupBy("doc").agg(F.collect_list("k").alias("keys"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -300,7 +330,7 @@ def _tile_pairs(texts: DataFrame, rest: DataFrame, words: int, percent: int) ->
                     ["doc", "n", "bits"],
                 )
 
-    bitmaps = texts.mapInArrow(signed, "doc long, n long, bits binary").join(own, "doc")
+    bitmaps = texts.mapInArrow(signed, "doc long, n long, bits binary")
     sides = F.ceil(F.col("rows") / TILE).cast("int")
     rows = rest.withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("doc"), F.col("sides")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other")
@@ -309,12 +339,11 @@ def _tile_pairs(texts: DataFrame, rest: DataFrame, words: int, percent: int) ->
     )
 
     def compare(tile: pa.Table) -> pa.Table:
-        k, x, y = (tile.column(c)[0].as_py() for c in ("k", "x", "y"))
+        x, y = (tile.column(c)[0].as_py() for c in ("x", "y"))
         doc, comp, n, side = (tile.column(c).to_numpy() for c in ("doc", "comp", "n", "side"))
         maps = [np.frombuffer(b, np.uint64) for b in tile.column("bits").to_pylist()]
         few = min(map(len, maps))
         stack = np.stack([_folded(m, few) for m in maps])
-        own = [set(ks) for ks in tile.column("keys").to_pylist()]
         out = []
         for i in np.flatnonzero(side == x).tolist():
             able = (comp != comp[i]) & (side == y) & ((doc > doc[i]) | (x != y))
@@ -322,7 +351,6 @@ def _tile_pairs(texts: DataFrame, rest: DataFrame, words: int, percent: int) ->
             j = np.flatnonzero(able)
             if len(j):
                 j = j[enough(bounded(stack[i], n[i], stack[j], n[j]), n[j], n[i], percent)]
-                j = j[[min(own[i] & own[m]) == k for m in j.tolist()]] if len(j) else j
                 out.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
         found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": found[0], "b": found[1]})
@@ -343,6 +371,11 @@ def _worth_comparing(rest: DataFrame) -> DataFrame:
     return rest.join(some.select("k", "rows"), "k")
 
 
+def _texts(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of those documents; neither side has a bound, so the join shuffles at every size."""
+    return stored(table.join(wanted.distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+
+
 def near_duplicates(documents: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     table = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -354,26 +387,25 @@ def near_duplicates(documents: DataFrame, words: int = 4, percent: int = 85) ->
 
     stars = stored(star_rows(table, words, percent), "stars")
     rep_of = lambda name: reps.select(F.col("doc_id").alias(name), F.col("rep").alias(f"rep_{name}"))
-    star_pairs = stored(stars.select("a", "b").distinct(), "star-pairs")
-    met = star_pairs.join(rep_of("a"), "a").join(rep_of("b"), "b")
+    met = stars.where(F.col("kind") == UNTESTED).select("a", "b").distinct().join(rep_of("a"), "a").join(rep_of("b"), "b")
     pairs = met.where("rep_a != rep_b").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
     pairs = stored(pairs, "set-pairs")
     size = lambda name: reps.where("doc_id = rep").join(sizes, "doc_id").select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}")).distinct()
     sized = pairs.join(size("a"), "a").join(size("b"), "b")
     close = sized.where(f"100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)").select("a", "b")
     close = stored(close, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    # neither side has a bound, so the join shuffles at every size
-    texts = stored(table.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
-    links = stored(verified(texts, close, words, percent), "links")
+    texts = _texts(table, close.select(F.col("a").alias("doc_id")).union(close.select("b")))
+    near = stars.where(F.col("kind") == LINK).select("a", "b").union(copies)
+    links = stored(verified(texts, close, words, percent).union(near), "links")
 
-    comps = components(links.union(copies))
+    comps = components(links)
     in_comp = lambda name: comps.select(F.col("node").alias(name), F.col("component").alias(f"comp_{name}"))
-    where = star_pairs.join(in_comp("a"), "a", "left").join(in_comp("b"), "b", "left")
+    unlike = stars.where(F.col("kind").isin(UNTESTED, APART)).select("a", "b").distinct()
+    where = unlike.join(in_comp("a"), "a", "left").join(in_comp("b"), "b", "left")
     apart = where.where("coalesce(comp_a, a) != coalesce(comp_b, b)").select("a", "b")
     open_keys = stored(stars.join(apart, ["a", "b"], "left_semi").select("k").distinct(), "open-keys")
     if not open_keys.isEmpty():
-        within = stars.join(open_keys, "k", "left_semi")
+        within = stars.where(F.col("kind") != LINK).join(open_keys, "k", "left_semi")
         rest = (
             within.select("k", F.col("a").alias("doc"))
             .union(within.select("k", "b"))
@@ -383,9 +415,10 @@ def near_duplicates(documents: DataFrame, words: int = 4, percent: int = 85) ->
             .distinct()
         )
         rest = stored(_worth_comparing(rest), "open-rows")
+        texts = _texts(table, rest.select(F.col("doc").alias("doc_id")))
         found = _tile_pairs(texts, rest, words, percent).join(close, ["a", "b"], "left_anti")
         more = verified(texts, stored(found, "pairs"), words, percent)
-        comps = components(links.union(copies).union(stored(more, "links")))
+        comps = components(links.union(stored(more, "links")))
     found = sizes.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
