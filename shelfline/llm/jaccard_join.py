@@ -48,10 +48,12 @@ WORD[[0x20, *range(0x09, 0x0E)]] = False
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _SALT = np.uint64(0x165667B19E3779F9)
 
-#: Ratio of a band's bounds, keys merged at a time, and sets of a tile's side.
+#: Ratio of a band's bounds, keys and shingles held at a time, sets of a tile's side, and keys that a
+#: set brings into its tiles.
 BAND = 1.5
 PIECE = 2_000_000
 TILE = 1024
+FIRST = 8
 
 
 def enough(inter, size_a, size_b, percent: int):
@@ -318,8 +320,10 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
 def _tile_pairs(texts: DataFrame, rest: DataFrame, words: int, percent: int) -> DataFrame:
     """Of sets that share a key (k, doc, comp, rows): pairs of different components that sizes and bitmaps allow.
 
-    A pair may come from the tiles of several keys; bitmaps are all that a tile holds of a set.
+    A tile leaves a pair to the tile of a smaller key if both sets have that key among their FIRST smallest
+    ones.  The tile of the smallest common key never does, so no pair is lost, and few come twice.
     """
+    own = rest.groupBy("doc").agg(F.slice(F.array_sort(F.collect_list("k")), 1, FIRST).alias("keys"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -330,7 +334,7 @@ def _tile_pairs(texts: DataFrame, rest: DataFrame, words: int, percent: int) ->
                     ["doc", "n", "bits"],
                 )
 
-    bitmaps = texts.mapInArrow(signed, "doc long, n long, bits binary")
+    bitmaps = texts.mapInArrow(signed, "doc long, n long, bits binary").join(own, "doc")
     sides = F.ceil(F.col("rows") / TILE).cast("int")
     rows = rest.withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("doc"), F.col("sides")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other")
@@ -339,11 +343,12 @@ def _tile_pairs(texts: DataFrame, rest: DataFrame, words: int, percent: int) ->
     )
 
     def compare(tile: pa.Table) -> pa.Table:
-        x, y = (tile.column(c)[0].as_py() for c in ("x", "y"))
+        k, x, y = (tile.column(c)[0].as_py() for c in ("k", "x", "y"))
         doc, comp, n, side = (tile.column(c).to_numpy() for c in ("doc", "comp", "n", "side"))
         maps = [np.frombuffer(b, np.uint64) for b in tile.column("bits").to_pylist()]
         few = min(map(len, maps))
         stack = np.stack([_folded(m, few) for m in maps])
+        own = np.array([ks + [k] * (FIRST - len(ks)) for ks in tile.column("keys").to_pylist()], np.int64)
         out = []
         for i in np.flatnonzero(side == x).tolist():
             able = (comp != comp[i]) & (side == y) & ((doc > doc[i]) | (x != y))
@@ -351,6 +356,7 @@ def _tile_pairs(texts: DataFrame, rest: DataFrame, words: int, percent: int) ->
             j = np.flatnonzero(able)
             if len(j):
                 j = j[enough(bounded(stack[i], n[i], stack[j], n[j]), n[j], n[i], percent)]
+                j = j[~np.isin(own[j], own[i][own[i] < k]).any(axis=1)]
                 out.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
         found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": found[0], "b": found[1]})
@@ -371,11 +377,6 @@ def _worth_comparing(rest: DataFrame) -> DataFrame:
     return rest.join(some.select("k", "rows"), "k")
 
 
-def _texts(table: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of those documents; neither side has a bound, so the join shuffles at every size."""
-    return stored(table.join(wanted.distinct().hint("merge"), "doc_id", "left_semi"), "texts")
-
-
 def near_duplicates(documents: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     table = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -394,7 +395,10 @@ def near_duplicates(documents: DataFrame, words: int = 4, percent: int = 85) ->
     sized = pairs.join(size("a"), "a").join(size("b"), "b")
     close = sized.where(f"100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)").select("a", "b")
     close = stored(close, "pairs")
-    texts = _texts(table, close.select(F.col("a").alias("doc_id")).union(close.select("b")))
+    ends = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
+    wanted = ends.join(reps, "doc_id").select(F.col("rep").alias("doc_id")).distinct()
+    # neither side has a bound, so the join shuffles at every size
+    texts = stored(table.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
     near = stars.where(F.col("kind") == LINK).select("a", "b").union(copies)
     links = stored(verified(texts, close, words, percent).union(near), "links")
 
@@ -415,7 +419,6 @@ def near_duplicates(documents: DataFrame, words: int = 4, percent: int = 85) ->
             .distinct()
         )
         rest = stored(_worth_comparing(rest), "open-rows")
-        texts = _texts(table, rest.select(F.col("doc").alias("doc_id")))
         found = _tile_pairs(texts, rest, words, percent).join(close, ["a", "b"], "left_anti")
         more = verified(texts, stored(found, "pairs"), words, percent)
         comps = components(links.union(stored(more, "links")))
