@@ -82,7 +82,7 @@ def test_run_gives_the_same_shape(spark, sf_dir):
 
 
 def test_every_query_is_registered(spark, sf_dir):
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     import __spark_entry__ as entry
 
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
