@@ -393,16 +393,20 @@ def roster_gaps(panel: DataFrame) -> DataFrame:
     )
 
 
-def roster_gap_counts(panel: DataFrame) -> DataFrame:
-    """For every SKU with absent warehouses: how many it has and how many it lacks.
+def roster_gaps_by_key(panel: DataFrame) -> DataFrame:
+    """Crossed pairs that have no series at all, with how many warehouses the SKU has and lacks.
 
-    The crossed roster itself is never formed: what is absent is the number of
-    warehouses less those present.
+    Only SKUs that lack a warehouse are crossed, so the result is no longer than SKUs x
+    warehouses.  Nulls are values like any other.
     """
     present = panel.select(*SERIES).distinct()
-    all_warehouses = present.agg(F.count_distinct("Warehouse_ID").alias("n")).scalar()
+    warehouses = present.select("Warehouse_ID").distinct()
+    n = warehouses.agg(F.count(F.lit(1)).alias("n")).scalar()
     counts = present.groupBy("SKU_ID").agg(F.count(F.lit(1)).alias("present"))
-    return counts.withColumn("absent", all_warehouses - F.col("present")).where("absent > 0")
+    lacking = counts.withColumn("absent", n - F.col("present")).where("absent > 0")
+    found = present.alias("p")
+    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"p.{c}")) for c in SERIES]
+    return crossed(lacking, warehouses).alias("w").join(found, same, "left_anti").select(*SERIES, "present", "absent")
 
 
 def reserved_rows(panel: DataFrame, holdout_start) -> DataFrame:

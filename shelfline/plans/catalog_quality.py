@@ -313,16 +313,18 @@ def roster_complete_grid(spark, sf_dir):
     "roster_gaps_in_sparse_log",
     "V14",
     """WITH pairs AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS SKU_ID, o_orderpriority || o_orderstatus AS Warehouse_ID FROM orders),
-n AS (SELECT count(DISTINCT Warehouse_ID) AS n FROM pairs)
-SELECT SKU_ID, count(*) AS present, max(n) - count(*) AS absent FROM pairs, n GROUP BY SKU_ID HAVING max(n) > count(*)""",
+w AS (SELECT DISTINCT Warehouse_ID FROM pairs),
+s AS (SELECT SKU_ID, count(*) AS present, (SELECT count(*) FROM w) - count(*) AS absent FROM pairs GROUP BY SKU_ID)
+SELECT s.SKU_ID, w.Warehouse_ID, present, absent FROM s, w
+WHERE NOT EXISTS (SELECT 1 FROM pairs g WHERE g.SKU_ID IS NOT DISTINCT FROM s.SKU_ID AND g.Warehouse_ID IS NOT DISTINCT FROM w.Warehouse_ID)""",
 )
 def roster_gaps_sparse(spark, sf_dir):
-    """Customers against kinds of order: all orders, absent pairs as counts."""
+    """Customers against kinds of order: every absent pair over all orders, with its customer's counts."""
     pairs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.col("o_custkey").cast("string").alias("SKU_ID"),
         F.concat("o_orderpriority", "o_orderstatus").alias("Warehouse_ID"),
     )
-    return dq.roster_gap_counts(pairs)
+    return dq.roster_gaps_by_key(pairs)
 
 
 @query(

@@ -42,6 +42,14 @@ def test_crossed_roster(spark):
     assert "CartesianProduct" not in plan
 
 
+def test_sparse_roster_lists_every_absent_pair(spark):
+    rows = [("a", "1"), ("a", "1"), ("b", "1"), ("b", "2"), ("b", "3"), ("c", "3"), (None, "2")]
+    out = dq.roster_gaps_by_key(spark.createDataFrame(rows, "SKU_ID string, Warehouse_ID string"))
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted(
+        [("a", "2", 1, 2), ("a", "3", 1, 2), ("c", "1", 1, 2), ("c", "2", 1, 2), (None, "1", 1, 2), (None, "3", 1, 2)], key=repr
+    )
+
+
 def test_grid_difference_kinds(spark):
     left = spark.createDataFrame([(1,), (2,)], "k int")
     right = spark.createDataFrame([(2,), (2,), (3,)], "k int")
