@@ -10,11 +10,13 @@ empty blocks than that room also shares its empty blocks as keys.
    stars, whose pairs are tested there, where the sets are at hand, and contracted; a
    key then has one row for each piece at most, however many copies there are.  These
    rows meet as a star again: (key, smallest document, other).
-2. The stars between pieces are verified exactly; all links make components.
+2. Of the stars between pieces, bit counts of hashed bitmaps (made where the sets are at
+   hand) leave few pairs; those are verified exactly, over texts of their documents alone.
+   All links make components.
 3. Keys whose stars join different components are looked at in full (the stars of
    a key hold all its sets): within such a key, sets of different components meet in
-   tiles of bounded size, where bit counts of hashed bitmaps bound the overlap from
-   above before the exact intersection of sorted arrays.
+   tiles of bounded size, where the same bitmaps bound the overlap from above before
+   the exact intersection of sorted arrays.
 
 Only components and exact links between distinct texts are asked for, so copies
 are never expanded into all their pairs.  Shingles are 64-bit hashes of words
@@ -129,18 +131,23 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def set_sizes(documents: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, n_shingles and a digest of the set, one row for each document."""
+    """doc_id, n_shingles, a digest and a bitmap of the set, one row for each document."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in T.slices(whole):
                 sets = shingle_sets(*T.buffer(batch.column("text")), words)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_digest, sets), pa.binary())],
-                    ["doc_id", "n_shingles", "digest"],
+                    [
+                        batch.column("doc_id"),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(map(_digest, sets), pa.binary()),
+                        pa.array([_bitmap(s).tobytes() for s in sets], pa.binary()),
+                    ],
+                    ["doc_id", "n_shingles", "digest", "bits"],
                 )
 
-    return documents.mapInArrow(sizes, "doc_id long, n_shingles long, digest binary")
+    return documents.mapInArrow(sizes, "doc_id long, n_shingles long, digest binary, bits binary")
 
 
 #: What a row says: a key and its document; a star between pieces, not tested yet; a star
@@ -210,7 +217,7 @@ def star_rows(documents: DataFrame, words: int, percent: int) -> DataFrame:
         pairs = np.unique(np.stack([star_c, star_d], axis=1), axis=0)
         component, links = contracted(sets, docs, pairs, percent)
         part = ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        yield from _packed(part, KEY, key, docs[first], docs[first])
+        yield from _packed(part, KEY, key, docs[first], docs[:0])
         spread = lambda n: (np.arange(n) // 20_000 * 7919 + docs[0]) % parts
         same = component[star_c] == component[star_d]
         for kind, some in ((APART, ~same), (TOGETHER, same & (docs[star_c] != docs[star_d]))):
@@ -295,6 +302,38 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return bool(enough(int((large[at] == small).sum()), len(a), len(b), percent))
 
 
+def likely(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose sizes and bitmaps allow the threshold; ``sizes`` are those of set_sizes."""
+    side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b")
+    close = sized.where(f"100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [batch.column(c).to_pylist() for c in ("bits_a", "bits_b")]
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            lengths = np.array([[len(x) // 8 for x in m] for m in maps], np.int64).reshape(2, -1)
+            good = np.zeros(batch.num_rows, bool)
+            for la, lb in np.unique(lengths, axis=1).T.tolist():
+                at = np.flatnonzero((lengths[0] == la) & (lengths[1] == lb))
+                few = min(la, lb)
+                a, b = (
+                    np.bitwise_or.reduce(np.frombuffer(b"".join([m[i] for i in at]), np.uint64).reshape(len(at), -1, few), axis=1)
+                    for m in maps
+                )
+                good[at] = enough(bounded(a, n_a[at], b, n_b[at]), n_a[at], n_b[at], percent)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    found = close.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(check, "a long, b long")
+    return found.distinct()
+
+
+def texts_of(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of the documents of some stored pairs (a, b)."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    return stored(table.join(wanted, "doc_id", "left_semi"), "texts")
+
+
 def verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose sets reach the threshold; ``texts`` are those of their documents."""
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(
@@ -317,7 +356,7 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _tile_pairs(texts: DataFrame, rest: DataFrame, words: int, percent: int) -> DataFrame:
+def _tile_pairs(sizes: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
     """Of sets that share a key (k, doc, comp, rows): pairs of different components that sizes and bitmaps allow.
 
     A tile leaves a pair to the tile of a smaller key if both sets have that key among their FIRST smallest
@@ -325,16 +364,7 @@ def _tile_pairs(texts: DataFrame, rest: DataFrame, words: int, percent: int) ->
     """
     own = rest.groupBy("doc").agg(F.slice(F.array_sort(F.collect_list("k")), 1, FIRST).alias("keys"))
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in T.slices(whole):
-                sets = shingle_sets(*T.buffer(batch.column("text")), words)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_bitmap(s).tobytes() for s in sets], pa.binary())],
-                    ["doc", "n", "bits"],
-                )
-
-    bitmaps = texts.mapInArrow(signed, "doc long, n long, bits binary").join(own, "doc")
+    bitmaps = sizes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "bits").join(own, "doc")
     sides = F.ceil(F.col("rows") / TILE).cast("int")
     rows = rest.withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("doc"), F.col("sides")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other")
@@ -391,16 +421,9 @@ def near_duplicates(documents: DataFrame, words: int = 4, percent: int = 85) ->
     met = stars.where(F.col("kind") == UNTESTED).select("a", "b").distinct().join(rep_of("a"), "a").join(rep_of("b"), "b")
     pairs = met.where("rep_a != rep_b").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
     pairs = stored(pairs, "set-pairs")
-    size = lambda name: reps.where("doc_id = rep").join(sizes, "doc_id").select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}")).distinct()
-    sized = pairs.join(size("a"), "a").join(size("b"), "b")
-    close = sized.where(f"100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)").select("a", "b")
-    close = stored(close, "pairs")
-    ends = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    wanted = ends.join(reps, "doc_id").select(F.col("rep").alias("doc_id")).distinct()
-    # neither side has a bound, so the join shuffles at every size
-    texts = stored(table.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
+    close = stored(likely(pairs, sizes, percent), "pairs")
     near = stars.where(F.col("kind") == LINK).select("a", "b").union(copies)
-    links = stored(verified(texts, close, words, percent).union(near), "links")
+    links = stored(verified(texts_of(table, close), close, words, percent).union(near), "links")
 
     comps = components(links)
     in_comp = lambda name: comps.select(F.col("node").alias(name), F.col("component").alias(f"comp_{name}"))
@@ -419,8 +442,8 @@ def near_duplicates(documents: DataFrame, words: int = 4, percent: int = 85) ->
             .distinct()
         )
         rest = stored(_worth_comparing(rest), "open-rows")
-        found = _tile_pairs(texts, rest, words, percent).join(close, ["a", "b"], "left_anti")
-        more = verified(texts, stored(found, "pairs"), words, percent)
+        found = stored(_tile_pairs(sizes, rest, percent).join(close, ["a", "b"], "left_anti"), "pairs")
+        more = verified(texts_of(table, found), found, words, percent)
         comps = components(links.union(stored(more, "links")))
     found = sizes.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

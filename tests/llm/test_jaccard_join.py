@@ -110,3 +110,16 @@ def test_sets_at_the_threshold_share_a_key(size, edits, seed):
     x, y = jj._bitmap(a), jj._bitmap(b)
     few = min(len(x), len(y))
     assert jj.bounded(jj._folded(x, few), len(a), jj._folded(y, few), len(b)) >= inter
+
+
+def test_texts_are_joined_for_likely_pairs_only(spark, monkeypatch):
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join(common + [f"w{rng.random()}" for _ in range(40)])) for i in range(60)]
+    rows += [(60, rows[5][1] + " more"), (61, rows[6][1] + " else")]
+    joined, real = [], jj.stored
+    monkeypatch.setattr(jj, "stored", lambda df, label: joined.append(df.count()) or real(df, label) if label == "texts" else real(df, label))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {r.doc_id: r.component_id for r in jj.near_duplicates(docs).collect()}
+    assert found == {i: i for i in range(60)} | {60: 5, 61: 6}
+    assert sum(joined) <= 8
