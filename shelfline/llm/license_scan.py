@@ -24,9 +24,11 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfline.session import stored
+
 # Licence identifiers and the sentences by which works declare them.
 TEMPLATES = [
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
@@ -94,37 +96,76 @@ def signature(rows, threshold: float) -> list[str]:
     return sorted(chosen)
 
 
-def matches(segments: DataFrame, keys: list[str], templates=None) -> DataFrame:
-    """keys, licence and score of the best template of every segment (column ``seg``) that shares a term with one."""
-    spark = segments.sparkSession
+def matches(segments: DataFrame, keys: list[str], least: float, templates=None) -> DataFrame:
+    """keys, licence and score of the best template of every segment (column ``terms``) that shares a term with one.
+
+    Segments that cannot score ``least`` are left out before their terms are counted: their length is that of
+    the known terms and of as many different others, at the least.
+    """
     rows, idf, other = weights(templates)
-    known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    vectors = F.broadcast(spark.createDataFrame(rows, "template int, licence string, term string, share double"))
-    counted = segments.select(*keys, F.explode(terms(F.col("seg"))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = counted.join(known, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    lengths = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = weighed.join(vectors, "term").groupBy(*keys, "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    scored = dots.join(lengths, keys).withColumn("score", F.col("dot") / F.col("length"))
-    best = F.min(F.struct((-F.round("score", 9)).alias("lost"), "licence")).alias("best")
-    return scored.groupBy(*keys).agg(best).select(*keys, "best.licence", (-F.col("best.lost")).alias("score"))
+    licences = sorted({(number, licence) for number, licence, _, _ in rows})
+    shares = {(number, term): share for number, _, term, share in rows}
+    order = sorted(idf)
+    place = F.create_map(*[F.lit(x) for i, t in enumerate(order) for x in (t, i + 1)])
+    weight = F.array(*[F.lit(idf[t]) for t in order])
+    columns = [F.array(*[F.lit(idf[t] * shares.get((number, t), 0.0)) for t in order]) for number, _ in licences]
+
+    # every step binds its value in a list of one or none, so that nothing is computed twice
+    def vector(known: Column) -> Column:
+        tf = F.transform(F.array_distinct(known), lambda t: F.struct(place[t].alias("at"), F.size(F.filter(known, lambda x: x == t)).alias("n")))
+        return F.struct(tf.alias("tf"), (F.size("terms") - F.size(known)).alias("others"))
+
+    def products(v: Column) -> Column:
+        total = lambda value: F.aggregate(v["tf"], F.lit(0.0), lambda acc, x: acc + value(x))
+        square = total(lambda x: F.pow(x["n"] * F.element_at(weight, x["at"]), F.lit(2.0)))
+        dots = F.array(*[total(lambda x, c=c: x["n"] * F.element_at(c, x["at"])) for c in columns])
+        return F.struct(square.alias("square"), dots.alias("dots"), v["others"].alias("others"))
+
+    # each repeat of a term raises its square by twice the number before it, and one
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"))
+
+    def grown(acc: Column, term: Column) -> Column:
+        n = F.when(acc["last"] == term, acc["n"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(term.alias("last"), n.alias("n"), (acc["sum"] + 2 * n - 1).alias("sum"))
+
+    def measured(v: Column) -> Column:
+        rest = F.sort_array(F.filter("terms", lambda t: ~t.isin(order)))
+        squares = F.aggregate(rest, start, grown, lambda acc: acc["sum"])
+        return F.struct(F.sqrt(v["square"] + other * other * squares).alias("length"), v["dots"].alias("dots"))
+
+    named = F.array(*[F.lit(licence) for _, licence in licences])
+
+    def best(v: Column) -> Column:
+        score = lambda dot, licence: F.struct((-F.round(dot / v["length"], 9)).alias("lost"), licence.alias("licence"), dot.alias("dot"))
+        return F.array_min(F.filter(F.zip_with(v["dots"], named, score), lambda x: x["dot"] > 0))
+
+    able = lambda v: F.array_max(v["dots"]) >= (least - 1e-6) * F.sqrt(v["square"] + other * other * v["others"])
+    known = F.filter(F.array(F.filter("terms", lambda t: t.isin(order))), lambda k: F.size(k) > 0)
+    vectors = F.filter(F.transform(F.transform(known, vector), products), able)
+    found = segments.select(*keys, F.inline(F.transform(F.transform(vectors, measured), best)))
+    return found.select(*keys, "licence", (-F.col("lost")).alias("score"))
 
 
 def scan(files: DataFrame, templates=None, threshold: float = THRESHOLD, file_threshold: float = FILE_THRESHOLD) -> DataFrame:
     """path, licence, how it was found (header, file, inherited or null) and the directory it came from."""
     files = files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     rows, _, _ = weights(templates)
-    words = "|".join(t.replace(".", "[.]") for t in signature(rows, min(threshold, file_threshold)))
-    pattern = f"(?i)(?<![a-z0-9])(?:{words})(?![a-z0-9])"
+    words = signature(rows, min(threshold, file_threshold))
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    likely = files.where(F.col("path").isNotNull() & (F.col("text").rlike(pattern) | name.rlike(LICENCE_NAME)))
-    pieces = likely.select("path", F.posexplode(F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))).alias("line", "seg"))
-    whole = likely.select("path", F.lit(-1).alias("line"), F.col("text").alias("seg"))
-    found = matches(pieces.union(whole).withColumn("piece", F.xxhash64("seg")), ["path", "line", "piece"], templates)
+    # no term reaches over a line's end, so the terms of the lines are those of the file
+    signed = lambda x: F.exists(x["terms"], lambda t: t.isin(words))
+    numbered = lambda t, i: F.struct(i.alias("line"), t.alias("terms"))
+    split = F.transform(F.array(F.transform(F.split("text", "\n"), terms)), lambda t: F.struct(t.alias("all"), F.filter(F.transform(t, numbered), signed).alias("some")))
+    likely = F.filter(split, lambda x: (F.size(x["some"]) > 0) | name.rlike(LICENCE_NAME))
+    whole = lambda x: F.array(F.struct(F.lit(-1).alias("line"), F.flatten(x["all"]).alias("terms")))
+    some = files.where("path IS NOT NULL AND text IS NOT NULL")
+    pieces = some.select("path", F.inline(F.flatten(F.transform(likely, lambda x: F.concat(whole(x), x["some"])))))
+    found = matches(pieces, ["path", "line"], min(threshold, file_threshold / 2), templates)
     declares = F.col("line").eqNullSafe(-1) & (
         (F.col("score") >= file_threshold) | (name.rlike(LICENCE_NAME) & (F.col("score") >= file_threshold / 2))
     )
     good = found.where(((F.col("line") >= 0) & (F.col("score") >= threshold)) | declares)
-    good = good.withColumn("how", F.when(F.col("line") >= 0, "header").otherwise("file"))
+    good = stored(good.withColumn("how", F.when(F.col("line") >= 0, "header").otherwise("file")), "licences")
     rank = F.struct(-F.col("score"), "licence")
     own = good.groupBy("path").agg(F.min_by(F.struct("licence", "how"), F.struct(F.when(F.col("how") == "header", 0).otherwise(1), rank)).alias("own"))
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)

@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 from shelfline.llm import license_scan as ls
 
 
@@ -57,3 +60,24 @@ def test_signature_leaves_too_little(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    rows, idf, other = ls.weights()
+    lists = {"a": ["released", "mit", "license", "mit", "b", "b", "c"], "b": ["public", "work"] * 3 + ["zz"], "c": ["none", "known"]}
+    table = spark.createDataFrame([(k, v) for k, v in lists.items()], "path string, terms array<string>")
+    out = ls.matches(table, ["path"], 0.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+    def best(terms):
+        w = {t: n * idf.get(t, other) for t, n in Counter(terms).items()}
+        length = math.sqrt(sum(x * x for x in w.values()))
+        dots = {}
+        for number, licence, term, share in rows:
+            if term in w:
+                dots[number, licence] = dots.get((number, licence), 0.0) + w[term] * share
+        return min((-round(dot / length, 9), licence) for (_, licence), dot in dots.items()) if dots else None
+
+    want = {k: best(v) for k, v in lists.items()}
+    assert {r.path: (-r.score, r.licence) for r in out.collect()} == {k: v for k, v in want.items() if v}
