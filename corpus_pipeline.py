@@ -37,7 +37,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of tokens, ids, and whether they decode to the text."""
-    return sentencepiece.encode(docs, sentencepiece.Vocabulary.load(TOKENIZER))
+    # workers still hold what the stages before needed: small slices, half a worker's memory
+    return sentencepiece.encode(docs, sentencepiece.Vocabulary.load(TOKENIZER), slice_bytes=1 << 20)
 
 
 STAGES = [

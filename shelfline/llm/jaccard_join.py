@@ -50,9 +50,10 @@ WORD[[0x20, *range(0x09, 0x0E)]] = False
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _SALT = np.uint64(0x165667B19E3779F9)
 
-#: Ratio of a band's bounds, keys and shingles held at a time, sets of a tile's side, and keys that a
-#: set brings into its tiles.
+#: Ratio of a band's bounds, bytes of texts hashed at a time, keys and shingles held at a time, sets of a
+#: tile's side, and keys that a set brings into its tiles.
 BAND = 1.5
+SLICE = 1 << 20
 PIECE = 2_000_000
 TILE = 1024
 FIRST = 8
@@ -135,7 +136,7 @@ def set_sizes(documents: DataFrame, words: int = 4) -> DataFrame:
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in T.slices(whole):
+            for batch in T.slices(whole, limit=SLICE):
                 sets = shingle_sets(*T.buffer(batch.column("text")), words)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -230,11 +231,11 @@ def star_rows(documents: DataFrame, words: int, percent: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             found = list(rows(held)) if held else []
             held.clear(), seen.clear()
-            for at in range(0, len(found), 64):
-                yield pa.RecordBatch.from_pylist(found[at : at + 64], _PACKED)
+            for at in range(0, len(found), 16):
+                yield pa.RecordBatch.from_pylist(found[at : at + 16], _PACKED)
 
         for whole in batches:
-            for batch in T.slices(whole):
+            for batch in T.slices(whole, limit=SLICE):
                 sets = shingle_sets(*T.buffer(batch.column("text")), words)
                 for doc, s in zip(batch.column("doc_id").to_pylist(), sets, strict=True):
                     if doc is None or not len(s) or (digest := _digest(s)) in seen:
@@ -343,7 +344,7 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for whole in batches:
-            for batch in T.slices(whole, "tb"):
+            for batch in T.slices(whole, "tb", SLICE):
                 right = shingle_sets(*T.buffer(batch.column("tb")), words)
                 good = np.zeros(batch.num_rows, bool)
                 texts_a, ids_a = batch.column("ta"), batch.column("a").to_pylist()

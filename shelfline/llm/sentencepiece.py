@@ -322,15 +322,18 @@ class Decoder:
         return [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends, ends[1:])]
 
 
-def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether the decoded ids give back the text (null for a null text)."""
+def encode(documents: DataFrame, vocabulary: Vocabulary, slice_bytes: int = T.SLICE_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether the decoded ids give back the text (null for a null text).
+
+    ``slice_bytes`` of text are walked through at a time; ids do not depend on it.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a worker that has had a task with this vocabulary goes on with its words
         kept, vocabulary.pairs = _LEARNED.setdefault(vocabulary.key(), (Words(), vocabulary.pairs))
         decoder = Decoder(vocabulary)
         for whole in batches:
-            for batch in T.slices(whole):
+            for batch in T.slices(whole, limit=slice_bytes):
                 texts = batch.column("text").to_pylist()
                 ids, offs = encode_texts(texts, vocabulary, kept)
                 same = [None if t is None else t == d for t, d in zip(texts, decoder(ids, offs), strict=True)]

@@ -104,7 +104,7 @@ class Hasher:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 4 << 20) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash for each word, in blocks so that a very long text needs little more memory than its words."""
     out = np.empty(len(starts), np.uint64)
     at = 0
