@@ -1,21 +1,113 @@
-"""File identity audit and manifest conflicts as table jobs."""
+"""File identity audit and manifest conflicts as table jobs.
+
+SHA-256 runs through a file's bytes in order.  A file of more than a block is hashed
+block by block in one task each: the digest's state, some hundred bytes, goes from a
+block's task to the next one's, and all such files advance side by side.
+"""
 
 from __future__ import annotations
 
+import _hashlib
+import ctypes
+import hashlib
 from urllib.parse import urlparse
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most bytes of one file that a task reads, and bytes that it holds of it.
+BLOCK = 128 << 20
+PIECE = 4 << 20
+
+#: OpenSSL's SHA256_CTX: eight words, bit count of two, sixteen words of data, two counters.
+_STATE_BYTES = 112
+
 
 def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+def _opened(path: str):
+    """A file of a Spark path, which is no quoted URI."""
+    scheme, rest = path.split(":", 1)
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    authority, key = rest.lstrip("/").split("/", 1)
+    store, root = fs.FileSystem.from_uri(f"{scheme}://{authority}")
+    return store.open_input_file(f"{root.rstrip('/')}/{key}")
+
+
+def _reached(path: str) -> bool:
+    """Whether parts of a file can be read without Spark's readers."""
+    try:
+        _opened(path).close()
+    except (ValueError, OSError, NotImplementedError):
+        return False
+    return True
+
+
+class _Digest:
+    """SHA-256 whose state between two updates is bytes, by the OpenSSL that hashlib uses."""
+
+    def __init__(self, state: bytes | None) -> None:
+        self.lib = ctypes.CDLL(_hashlib.__file__)
+        self.state = ctypes.create_string_buffer(state or _STATE_BYTES, _STATE_BYTES)
+        if state is None:
+            self.lib.SHA256_Init(self.state)
+
+    def update(self, data: bytes) -> None:
+        self.lib.SHA256_Update(self.state, ctypes.c_char_p(data), ctypes.c_size_t(len(data)))
+
+    def hexdigest(self) -> str:
+        out = ctypes.create_string_buffer(32)
+        self.lib.SHA256_Final(out, self.state)
+        return out.raw.hex()
+
+
+def resumable() -> bool:
+    """Whether this Python's OpenSSL can be asked for a digest's state."""
+    return hasattr(ctypes.CDLL(_hashlib.__file__), "SHA256_Update")
+
+
+def next_block(path: str, length: int, at: int, state: bytes | None, block: int) -> tuple[str, int, int, bytes | None, str | None]:
+    """The same five values after one more block; the last one's have the digest.
+
+    Without a state to hand on, a task goes through the whole file, a piece at a time.
+    """
+    kept = resumable()
+    digest = _Digest(state) if kept else hashlib.sha256()
+    end = min(length, at + block) if kept else length
+    with _opened(path) as file:
+        file.seek(at)
+        while at < end:
+            data = file.read(min(PIECE, end - at))
+            if not data:
+                raise OSError(f"{path} became shorter while it was hashed")
+            digest.update(data)
+            at += len(data)
+    if at == length:
+        return path, length, at, None, digest.hexdigest()
+    return path, length, at, digest.state.raw, None
+
+
+def _long_files(spark: SparkSession, files: list[tuple[str, int]], block: int) -> list[tuple[str, str]]:
+    """(path, sha256) of long files: a round of tasks for each block, a task for each file with bytes left."""
+    done, left = [], [(path, length, 0, None, None) for path, length in files]
+    while left:
+        left = spark.sparkContext.parallelize(left, len(left)).map(lambda x: next_block(*x[:4], block)).collect()
+        done += [(path, sha) for path, _, _, _, sha in left if sha]
+        left = [x for x in left if not x[4]]
+    return done
+
+
+def file_hashes(spark: SparkSession, folder: str, pattern: str = "*", block: int = BLOCK) -> DataFrame:
     """(file, sha256) of every file below a folder, hashed on the executors.
 
-    ``file`` is the path relative to the folder, so equal base names stay apart.
+    ``file`` is the path relative to the folder, so equal base names stay apart.  Files
+    of more than a block are hashed at once, in rounds; only their names, states and
+    digests reach the driver.  On a store that Spark alone reads they are read whole,
+    like the shorter ones, and have to be under 2 GB.
     """
     files = (
         spark.read.format("binaryFile")
@@ -25,7 +117,12 @@ def file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     )
     root = urlparse(folder).path.rstrip("/") + "/"
     name = F.expr("substring(path, instr(path, :root) + length(:root))".replace(":root", _literal(root)))
-    return files.select(name.alias("file"), F.sha2("content", 256).alias("sha256"))
+    found = [tuple(r) for r in files.where(F.col("length") > block).select("path", "length").collect()]
+    if not found or not _reached(found[0][0]):
+        return files.select(name.alias("file"), F.sha2("content", 256).alias("sha256"))
+    hashed = spark.createDataFrame(_long_files(spark, found, block), "path string, sha256 string")
+    short = files.where(F.col("length") <= block).select("path", F.sha2("content", 256).alias("sha256"))
+    return short.union(hashed).select(name.alias("file"), "sha256")
 
 
 def audit_files(actual: DataFrame, manifest: DataFrame) -> DataFrame:
