@@ -2,7 +2,8 @@
 
 SHA-256 runs through a file's bytes in order.  A file of more than a block is hashed
 block by block in one task each: the digest's state, some hundred bytes, goes from a
-block's task to the next one's, and all such files advance side by side.
+block's task to the next one's, and all such files advance side by side.  Blocks are
+read directly or, on a store that Spark alone reads, as Spark's splits of the file.
 """
 
 from __future__ import annotations
@@ -10,16 +11,25 @@ from __future__ import annotations
 import _hashlib
 import ctypes
 import hashlib
+import re
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 from pyarrow import fs
+from pyspark import RDD, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfline.session import _hadoop_path
+
 #: Most bytes of one file that a task reads, and bytes that it holds of it.
 BLOCK = 128 << 20
 PIECE = 4 << 20
 
+#: Records of a split.  Its last record has to be whole, which leaves the end of a file to
+#: splits and records smaller by a factor.
+RECORDS, FINER = 128, 16
+
 #: OpenSSL's SHA256_CTX: eight words, bit count of two, sixteen words of data, two counters.
 _STATE_BYTES = 112
 
@@ -101,13 +111,102 @@ def _long_files(spark: SparkSession, files: list[tuple[str, int]], block: int) -
     return done
 
 
+def _splittable(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's splits hold a file's bytes as they are, neither decompressed nor left out as hidden."""
+    found, _ = _hadoop_path(spark, path)
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+    return codecs.getCodec(found) is None and not found.getName().startswith(("_", "."))
+
+
+def _records(sc: SparkContext, path: str, record: int, split: int) -> RDD:
+    """(offset, bytes) of a file's records of fixed length, a partition for each split."""
+    pattern = re.sub(r"([\\{}\[\]*?,^])", r"\\\1", path)
+    return sc.newAPIHadoopRDD(
+        "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat",
+        "org.apache.hadoop.io.LongWritable",
+        "org.apache.hadoop.io.BytesWritable",
+        conf={
+            "mapreduce.input.fileinputformat.inputdir": re.sub(r"([\\,])", r"\\\1", pattern),
+            "mapreduce.input.fileinputformat.split.minsize": str(split),
+            "mapreduce.input.fileinputformat.split.maxsize": str(split),
+            "fixedlengthinputformat.record.length": str(record),
+        },
+    )
+
+
+def splits(sc: SparkContext, path: str, length: int, block: int) -> list[tuple[RDD, int]]:
+    """(records, partition) that hold a file's bytes once and in order, a block and a tenth at most in each.
+
+    Every level but the last one goes as far as its records are whole; the length of the
+    last one's divides the file's.  The block is a power of two, of half a MB at least.
+    """
+    records = [max(1, block // RECORDS // FINER**x) for x in range(3)]
+    least = next(x for x in range(min(records[-1], length), 0, -1) if length % x == 0)
+    levels = [(x, x * RECORDS) for x in records] + [(least, records[-1] * RECORDS // least * least)]
+    out, at = [], 0
+    for record, split in levels:
+        rows = _records(sc, path, record, split)
+        whole = length % record == 0
+        last = rows.getNumPartitions() - (not whole)
+        out += [(rows, x) for x in range(at // split, last)]
+        at = max(at, last * split)
+        if whole:
+            break
+    return out
+
+
+def next_split(records: Iterator[tuple[int, bytes]], length: int, at: int, state: bytes | None) -> tuple[int, bytes | None, str | None]:
+    """Bytes hashed, state and, at the file's end, digest after one more split; what an earlier split held is passed over."""
+    digest, piece = _Digest(state), bytearray()
+    for offset, data in records:
+        if offset + len(data) <= at:
+            continue
+        if offset > at:
+            raise OSError(f"bytes {at} to {offset} of a file are missing")
+        piece += data[at - offset :]
+        at = offset + len(data)
+        if len(piece) >= PIECE:
+            digest.update(bytes(piece))
+            piece.clear()
+    digest.update(bytes(piece))
+    return (at, None, digest.hexdigest()) if at == length else (at, digest.state.raw, None)
+
+
+def _long_files_by_spark(spark: SparkSession, files: list[tuple[str, int]], block: int) -> list[tuple[str, str]]:
+    """(path, sha256) of long files: a round of tasks for each split, a task for each file with splits left."""
+    sc = spark.sparkContext
+    steps = {path: splits(sc, path, length, block) for path, length in files}
+    levels = list({id(rows): rows for x in steps.values() for rows, _ in x}.values())
+    first, begin = {}, 0
+    for rows in levels:
+        first[id(rows)] = begin
+        begin += rows.getNumPartitions()
+    together = sc.union(levels)
+    lengths, states, done = dict(files), {path: (0, None) for path, _ in files}, []
+    for number in range(max(map(len, steps.values()))):
+        now = {first[id(x[number][0])] + x[number][1]: path for path, x in steps.items() if number < len(x)}
+        tasks = {part: (path, lengths[path], *states[path]) for part, path in now.items()}
+
+        def hashed(part, records, tasks=tasks):
+            path, *left = tasks[part]
+            yield path, *next_split(records, *left)
+
+        for path, at, state, sha in sc.runJob(together.mapPartitionsWithIndex(hashed), list, list(now)):
+            states[path] = at, state
+            done += [(path, sha)] if sha else []
+    if len(done) < len(files):
+        raise OSError(f"the end of {len(files) - len(done)} files was not reached")
+    return done
+
+
 def file_hashes(spark: SparkSession, folder: str, pattern: str = "*", block: int = BLOCK) -> DataFrame:
     """(file, sha256) of every file below a folder, hashed on the executors.
 
     ``file`` is the path relative to the folder, so equal base names stay apart.  Files
     of more than a block are hashed at once, in rounds; only their names, states and
-    digests reach the driver.  On a store that Spark alone reads they are read whole,
-    like the shorter ones, and have to be under 2 GB.
+    digests reach the driver.  Where Spark's splits would not hold a file's own bytes
+    (names of a compression codec, on a store that Spark alone reads) it is read whole,
+    like the shorter ones, and has to be under 2 GB.
     """
     files = (
         spark.read.format("binaryFile")
@@ -118,11 +217,22 @@ def file_hashes(spark: SparkSession, folder: str, pattern: str = "*", block: int
     root = urlparse(folder).path.rstrip("/") + "/"
     name = F.expr("substring(path, instr(path, :root) + length(:root))".replace(":root", _literal(root)))
     found = [tuple(r) for r in files.where(F.col("length") > block).select("path", "length").collect()]
-    if not found or not _reached(found[0][0]):
+    short = F.col("length") <= block
+    if not found or _reached(found[0][0]):
+        hashed = _long_files(spark, found, block)
+    else:
+        split = [x for x in found if resumable() and _splittable(spark, x[0])]
+        whole = [path for path, _ in found if path not in dict(split)]
+        short = short | F.col("path").isin(whole) if whole else short
+        hashed = _long_files_by_spark(spark, split, block) if split else []
+    if not hashed:
         return files.select(name.alias("file"), F.sha2("content", 256).alias("sha256"))
-    hashed = spark.createDataFrame(_long_files(spark, found, block), "path string, sha256 string")
-    short = files.where(F.col("length") <= block).select("path", F.sha2("content", 256).alias("sha256"))
-    return short.union(hashed).select(name.alias("file"), "sha256")
+    return (
+        files.where(short)
+        .select("path", F.sha2("content", 256).alias("sha256"))
+        .union(spark.createDataFrame(hashed, "path string, sha256 string"))
+        .select(name.alias("file"), "sha256")
+    )
 
 
 def audit_files(actual: DataFrame, manifest: DataFrame) -> DataFrame:
